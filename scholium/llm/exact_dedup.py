@@ -70,7 +70,8 @@ def classes(rows: DataFrame, at: dict[str, str], text: str = "text", head: int =
     groups, groups_path = written(groups.select("g_size", "g_start", "gid"), "exact-groups")
     binary = F.encode(ascii_lower(F.col(f"`{text}`")), "UTF-8")
     ended = F.col("g_size") <= head
-    live = rows.join(groups, (size == F.col("g_size")) & (start == F.col("g_start"))).select(
+    # the same plan at every size: were the groups broadcast while they are few, the shuffle of the texts would set in later
+    live = rows.join(groups.hint("merge"), (size == F.col("g_size")) & (start == F.col("g_start"))).select(
         rid.alias("rid"), "gid", F.col("g_size").alias("size"), ended.alias("ended"), F.when(~ended, F.substring(binary, head + 1, 1 << 30)).alias("rest")
     )
     live, live_path = written(live, "exact-live")
