@@ -1,20 +1,25 @@
 """Exact and fast encoding of whole texts by the tokenizers library.
 
 Neither vocabulary's pre-tokenizer lets a token cross a single space between
-two other characters, so a text falls into units that the library may encode
-one by one with the same ids as the whole. Units recur, so each worker keeps a
-bounded cache of their ids; a text is then one join of byte strings. Texts in
-which white space meets white space are encoded whole.
+two other characters, so a text falls into the parts between its spaces, and a
+part into fragments, that the library may encode one by one with the same ids
+as the whole. Parts recur, so each worker keeps bounded caches of their ids; a
+text is then one join of byte strings. Texts in which white space meets white
+space are encoded whole where the vocabulary keeps white space.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 ID = 4  # bytes of an id, little-endian
-CACHE = 400_000
+CACHE = 600_000
 _MEETS = re.compile(r"\s\s")
-_SPACE = re.compile(r"\s")
+#: A run of common letters ends a token of either vocabulary where plain punctuation, white space or the end follows; so does
+#: plain punctuation before white space or the end. Anything else stays whole up to the next space.
+_JOINED = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?![^ \n.,;:!?*%&$#])|[.,;:!?*%&$#]+(?![^ \n])|\n| ?[^ \n]+")
+_PARTED = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?![^ \n\t\r.,;:!?*%&$#])|[.,;:!?*%&$#]+(?![^ \n\t\r])|[^ \n\t\r]+")
 
 
 class Encoder:
@@ -31,32 +36,63 @@ class Encoder:
         self.np = numpy
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.joined, self.size, self.cache = joined, cache, {}
+        self.joined, self.size = joined, cache
+        self.parts: dict[str, bytes | None] = {}
+        self.fragments: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [self.np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return self.np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _units(self, text: str) -> list[str] | None:
+    def _fragments(self, part: str, lead: str) -> list[str] | None:
+        """What a part falls into; None where its white space may meet other white space."""
         if not self.joined:
-            return text.split()
-        if _MEETS.search(text):
+            return _PARTED.findall(part)
+        if not part or part[0].isspace() or part[-1].isspace() or _MEETS.search(part):
             return None
-        first, *rest = text.split(" ")
-        units = [" " + u for u in rest]
-        if first:
-            units.insert(0, first)
-        return units
+        return _JOINED.findall(lead + part)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode fragments in one call, a line each; offsets tell whose each id is."""
+        np = self.np
+        found = self.tokenizer.encode("\n".join(new), add_special_tokens=False)
+        ids = np.asarray(found.ids, dtype="<u4")
+        at = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(ids))
+        ends = np.fromiter(accumulate(len(u) + 1 for u in new), dtype=np.int64, count=len(new))
+        owner = np.searchsorted(ends, at, side="right")
+        inside = at < ends[owner] - 1
+        ids, owner = ids[inside], owner[inside]
+        raw, edges = ids.tobytes(), (np.searchsorted(owner, np.arange(len(new) + 1)) * ID).tolist()
+        self.fragments.update((u, raw[a:b]) for u, a, b in zip(new, edges, edges[1:], strict=False))
+
+    def _compose(self, parts: list[str], lead: str) -> list[bytes | None]:
+        cut = [self._fragments(p, lead) for p in parts]
+        missing = list({f for fs in cut if fs for f in fs}.difference(self.fragments))
+        for at in range(0, len(missing), 4096):
+            self._learn(missing[at : at + 4096])
+        get = self.fragments.__getitem__
+        return [None if fs is None else b"".join(map(get, fs)) for fs in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.size:
-            self.cache.clear()
-        units = [self._units(t) for t in texts]
-        missing = list({u for us in units if us is not None for u in us}.difference(self.cache))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.cache.update(zip(part, self._encode(part), strict=True))
-        get = self.cache.__getitem__
-        return [self._encode([t])[0] if us is None else b"".join(map(get, us)) for t, us in zip(texts, units, strict=True)]
+        if len(self.parts) > self.size:
+            self.parts.clear()
+        if len(self.fragments) > self.size:
+            self.fragments.clear()
+        if not self.fragments:
+            self.fragments["\n"] = self.whole("\n")
+        split = [t.split(" ") for t in texts]
+        firsts = self._compose([ps[0] for ps in split], "")
+        rest: set[str] = set()
+        for ps in split:
+            rest.update(ps)
+        missing = list(rest.difference(self.parts))
+        self.parts.update(zip(missing, self._compose(missing, " "), strict=True))
+        get, out = self.parts.__getitem__, []
+        for text, first, ps in zip(texts, firsts, split, strict=True):
+            try:
+                out.append(first + b"".join(map(get, ps[1:])))
+            except TypeError:
+                out.append(self.whole(text))
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
