@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, html_text, packing, simhash, token_files, toxicity, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_html_extraction": html_text.op5_html_extraction,
+    "op6_token_files": token_files.op6_token_files,
+    "op7_warc": warc.op7_warc,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
