@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, packing, simhash, token_files, toxicity, warc
+from . import exact_dedup, html_text, packing, pii, simhash, token_files, toxicity, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_html_extraction": html_text.op5_html_extraction,
