@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, packing, pii, simhash, token_files, toxicity, warc
+from . import exact_dedup, html_text, packing, pii, simhash, token_files, toxicity, vector_graph, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_vector_graph": vector_graph.op10_vector_graph,
 }
 ORACLE = {"op4_exact_dedup": exact_dedup.SQL}
