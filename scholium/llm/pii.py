@@ -17,11 +17,11 @@ The patterns are possessive, and start only where no earlier start could have
 matched, so a long text costs time in proportion to its length.
 
 Scale: only lines with an entity are exploded, and only entities of SUPPORT
-different lines go on; counts are partly aggregated before each shuffle, so a
-line that a third of all documents share is one row of each task. Corpus counts
-of terms are taken for candidate terms alone. When no term discloses anything
-there is nothing to join; else the documents of each term are found by a join
-of their words.
+different lines go on; all counts are partly aggregated before their shuffle, so
+a line that a third of all documents share is one row of each task. Corpus
+counts of terms are taken for candidate terms, which are broadcast while they
+are at most ``BROADCAST`` and else joined to the counts of all words. The documents
+of each disclosing term are found by a join of their words, under the same check.
 
 Defined results: a null text counts as empty; rows with a null doc_id are
 reported like others; repeated rows give a row each; an empty table gives none.
@@ -37,6 +37,7 @@ from .common import fresh, table, written
 REMOVE = 0.9
 GENERALISE = 0.75
 SUPPORT = 3
+BROADCAST = 200_000  # most terms (some 4 MB) that are sent to every executor; more are joined by a shuffle
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
 
@@ -118,25 +119,32 @@ def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(line, term): different words of each line of the corpus."""
+    """(term): the different words of each line of the corpus."""
     lines = docs.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("line"))
-    return lines.select(F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))).alias("term"))
+    return lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))).alias("term"))
+
+
+def _few(terms: DataFrame) -> DataFrame | None:
+    """``terms`` for a broadcast, if they are few enough for one."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST else None
 
 
 def disclosing(docs: DataFrame, text: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """(term, disclosure, removed): the terms that tell too much of some entity."""
     found, _ = written(contexts(docs, text), "pii-contexts")
     single = found.select(F.explode("entities").alias("entity"), "line")
-    entities = single.distinct().groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
-    entities, _ = written(entities, "pii-entities")
-    pairs = found.select(F.explode("entities").alias("entity"), "line", "terms").join(entities, "entity")
-    pairs = pairs.select("entity", "n_c", "line", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    pairs, _ = written(pairs, "pii-pairs")
+    entities = single.groupBy("entity").agg(F.count("*").alias("n_c"), F.count_distinct("line").alias("different")).where(F.col("different") >= support)
+    entities, _ = written(entities.select("entity", "n_c"), "pii-entities")
+    pairs = found.select(F.explode("entities").alias("entity"), "line", "terms").join(entities, "entity").select("entity", "n_c", "line", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct"), F.count_distinct("line").alias("different")).where(F.col("different") >= support)
+    pairs, _ = written(pairs.select("entity", "n_c", "term", "n_ct"), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit(False).alias("removed"))
     candidates, _ = written(pairs.select("term").distinct(), "pii-candidates")
-    counted = line_words(docs, text).join(candidates, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    seen = line_words(docs, text)
+    few = _few(candidates)
+    counted = (seen.join(few, "term") if few is not None else seen).groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = counted if few is not None else counted.join(candidates, "term")
     size = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"))).cast("double").alias("n"))
     rated = pairs.join(counted, "term").crossJoin(F.broadcast(size))
     content = F.log2(F.col("n") / F.col("n_c"))
@@ -164,7 +172,8 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: D
     if terms.isEmpty():
         return rows.withColumns({more: F.array().cast(_SPAN), gone: F.array().cast("array<string>")})
     words = docs.select(F.col(f"`{key}`").alias(d_key), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
-    own = words.join(terms, "term").groupBy(d_key).agg(F.sort_array(F.collect_set("term")).alias(every), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("term")))).alias(gone))
+    few = _few(terms)
+    own = words.join(terms if few is None else few, "term").groupBy(d_key).agg(F.sort_array(F.collect_set("term")).alias(every), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("term")))).alias(gone))
     own, _ = written(own, "pii-own")
     rows = rows.join(own, F.col(f"`{key}`").eqNullSafe(F.col(d_key)), "left").drop(d_key)
     return _term_spans(rows, body, every, more, len(KINDS)).drop(every)
