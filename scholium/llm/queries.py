@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, packing, pii, simhash, token_files, toxicity, vector_graph, warc
+from . import exact_dedup, html_text, packing, pii, segmentation, simhash, token_files, toxicity, vector_graph, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_sentencepiece": segmentation.op3_sentencepiece,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_html_extraction": html_text.op5_html_extraction,
     "op6_token_files": token_files.op6_token_files,
