@@ -12,8 +12,8 @@ rows fall into ``GRADES`` - 1 equal parts. With a label column of several
 grades those are used as they are.
 
 The model is fit on at most ``SAMPLE`` labelled rows, those with the smallest
-hash of their id, so the driver holds a bounded number of word sets whatever the size of the
-corpus; every document is scored on its whole text, in Arrow batches.
+hash of their id. Their words are counted on the executors, and the driver gets
+at most ``FEATURES`` marking features and their counts in the sample; every document is scored on its whole text, in Arrow batches.
 
 Defined results: a null or empty text has no features and the grade of the
 thresholds alone; null labels and labels without a document are not used; of
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 SAMPLE = 6000
 FEATURES = 600
@@ -60,8 +60,8 @@ def named(word: str) -> list[str]:
 Row = tuple[int, dict[str, int], int]
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> list[Row]:
-    """(label, features and their counts, number of words) of at most ``most`` labelled rows."""
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> DataFrame:
+    """(label, words, counts) of at most ``most`` labelled rows, as a written table."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("l_id"), F.col(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id", "label").limit(most)
 
@@ -72,43 +72,58 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(cols, ["label", "words", "counts"])
 
     rows = docs.select(F.col(f"`{key}`").alias("d_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), F.col("d_id") == F.col("l_id"))
-    got = rows.select("label", "text").mapInArrow(run, "label int, words array<string>, counts array<int>").collect()
-    return [as_row(r.label, dict(zip(r.words, r.counts, strict=True))) for r in got]
+    return written(rows.select("label", "text").mapInArrow(run, "label int, words array<string>, counts array<int>"), "toxicity-sample")[0]
 
 
-def as_row(label: int, found: dict[str, int]) -> Row:
+def marking(rows: DataFrame, rare: int = RARE, z: float = Z, most: int = FEATURES) -> dict[str, float]:
+    """Features that tell rows of grade 1 or more from others, with the z score of their log odds: at most ``most``."""
+
+    def run(batches):
+        for batch in batches:
+            held = [Counter(), Counter()]
+            for label, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[label > 0].update({f for w in found for f in named(w)})
+            names = list(held[0].keys() | held[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([h[n] for n in names], pa.int64()) for h in held)], ["feature", "a", "b"])
+
+    total = rows.agg(F.count_if(F.col("label") <= 0).alias("clean"), F.count_if(F.col("label") > 0).alias("toxic")).first()
+    counts = rows.select("label", "words").mapInArrow(run, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= rare)
+    a, b, not_a, not_b = F.col("a") + 0.5, F.col("b") + 0.5, total.clean - F.col("a") + 0.5, total.toxic - F.col("b") + 0.5
+    score = (F.log(b / not_b) - F.log(a / not_a)) / F.sqrt(1 / a + 1 / b + 1 / not_a + 1 / not_b)
+    top = counts.select("feature", score.alias("z")).where(F.abs("z") >= z).orderBy(F.abs("z").desc(), "feature").limit(most)
+    return {r.feature: r.z for r in top.collect()}
+
+
+def marked(rows: DataFrame, marks: dict[str, float]) -> list[Row]:
+    """(label, counts of the marking features, number of words with one that marks toxic rows) of each sample row."""
+
+    def run(batches):
+        for batch in batches:
+            out = [as_row(label, dict(zip(w, n, strict=True)), marks) for label, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            cols = [pa.array([r[0] for r in out], pa.int32()), pa.array([list(r[1]) for r in out], pa.list_(pa.string())), pa.array([list(r[1].values()) for r in out], pa.list_(pa.int32())), pa.array([r[2] for r in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["label", "features", "counts", "hits"])
+
+    got = rows.mapInArrow(run, "label int, features array<string>, counts array<int>, hits long").collect()
+    return [(r.label, dict(zip(r.features, r.counts, strict=True)), r.hits) for r in sorted(got)]
+
+
+def as_row(label: int, found: dict[str, int], marks: dict[str, float]) -> Row:
     out: dict[str, int] = {}
+    hits = 0
     for w, n in found.items():
-        for f in named(w):
+        some = [f for f in named(w) if f in marks]
+        for f in some:
             out[f] = out.get(f, 0) + n
-    return label, out, sum(found.values())
-
-
-def marking(rows: list[Row], rare: int = RARE, z: float = Z, most: int = FEATURES) -> dict[str, float]:
-    """Words that tell labelled rows of grade 1 or more from others, with the z score of their log odds."""
-    counts: dict[str, list[int]] = {}
-    totals = [0, 0]
-    for label, found, _ in rows:
-        totals[label > 0] += 1
-        for w in found:
-            counts.setdefault(w, [0, 0])[label > 0] += 1
-    out = {}
-    for w, (a, b) in counts.items():
-        if a + b >= rare:
-            odds = np.log((b + 0.5) / (totals[1] - b + 0.5)) - np.log((a + 0.5) / (totals[0] - a + 0.5))
-            score = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (totals[0] - a + 0.5) + 1 / (totals[1] - b + 0.5))
-            if abs(score) >= z:
-                out[w] = float(score)
-    return dict(sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:most])
-
-
-def graded(rows: list[Row], marks: dict[str, float], grades: int = GRADES) -> np.ndarray:
+        hits += n * any(marks[f] > 0 for f in some)
+    return label, out, hits
+
+
+def graded(rows: list[Row], grades: int = GRADES) -> np.ndarray:
     """The labels if they have several grades, else toxic rows by how many marking words they have."""
     label = np.array([r[0] for r in rows])
     if label.max(initial=0) > 1:
         return label
-    marked = {f for f, z in marks.items() if z > 0}
-    hits = np.array([sum(n for w, n in r[1].items() if w[-1] != "*" and not marked.isdisjoint(named(w))) if r[0] > 0 else 0 for r in rows])
+    hits = np.array([r[2] for r in rows])
     edges = np.quantile(hits[label > 0], np.arange(1, grades - 1) / (grades - 1))
     return np.where(label > 0, 1 + np.searchsorted(edges, hits, side="right"), 0)
 
@@ -135,12 +150,11 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(latent[:, None] - self.thresholds[None, :], -50, 50)))
 
 
-def fit(rows: list[Row], grades: int = GRADES, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE) -> Ordinal:
+def fit(rows: list[Row], marks: dict[str, float], grades: int = GRADES, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE) -> Ordinal:
     """Maximum likelihood with a ridge penalty, by Adam on weights and threshold gaps."""
     if len({r[0] > 0 for r in rows}) < 2:
         return Ordinal({}, [50.0])
-    marks = marking(rows)
-    y = graded(rows, marks, grades)
+    y = graded(rows, grades)
     kinds = sorted(set(y.tolist()))
     y = np.searchsorted(kinds, y)
     k, names = len(kinds) - 1, sorted(marks)
@@ -194,7 +208,9 @@ def scored(docs: DataFrame, model: Ordinal, key: str = "doc_id", text: str = "te
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Ordinal:
-    return fit(sample(docs, labels))
+    rows = sample(docs, labels)
+    marks = marking(rows)
+    return fit(marked(rows, marks), marks)
 
 
 def rejected_removed(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:

@@ -19,12 +19,13 @@ def corpus(n, seed):
     return docs
 
 
-def rows(docs, binary):
-    return [toxicity.as_row(int(g > 0) if binary else g, toxicity.Counter(toxicity.words(t))) for _, t, g in docs]
+def model_of(spark, docs, binary):
+    frame = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    return toxicity.trained(frame, spark.createDataFrame([(i, int(g > 0) if binary else g) for i, _, g in docs], "doc_id long, toxic int"))
 
 
-def test_held_out_accuracy():
-    model = toxicity.fit(rows(corpus(600, 1), True))
+def test_held_out_accuracy(spark):
+    model = model_of(spark, corpus(600, 1), True)
     assert all(a < b for a, b in zip(model.thresholds, model.thresholds[1:]))
     held = corpus(400, 2)
     got = np.array([model.above(np.array([model.latent(toxicity.words(t))]))[0] for _, t, _ in held])
@@ -35,8 +36,8 @@ def test_held_out_accuracy():
     assert means == sorted(means)
 
 
-def test_given_grades_are_used():
-    model = toxicity.fit(rows(corpus(800, 3), False))
+def test_given_grades_are_used(spark):
+    model = model_of(spark, corpus(800, 3), False)
     held = corpus(300, 4)
     grade = [int((model.above(np.array([model.latent(toxicity.words(t))]))[0] >= 0.5).sum()) for _, t, _ in held]
     assert np.abs(np.array(grade) - np.array([g for *_, g in held])).mean() < 0.2
