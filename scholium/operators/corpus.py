@@ -61,7 +61,7 @@ def unique(rows: DataFrame, key: str = "paper_id") -> DataFrame:
 
 
 class Corpus:
-    """A directory of versions; ``_current`` names the one in use."""
+    """A directory of versions; ``CURRENT`` names the one in use."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -73,7 +73,7 @@ class Corpus:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _version(self) -> str | None:
-        pointer = self._at("_current")
+        pointer = self._at("CURRENT")
         return self.spark.read.text(str(pointer)).first()[0] if self._fs.exists(pointer) else None
 
     def papers(self) -> DataFrame:
@@ -86,11 +86,11 @@ class Corpus:
         """Make ``papers`` the current version."""
         version = f"v-{uuid.uuid4().hex}"
         papers.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in papers.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PAPERS)).write.parquet(f"{self.path}/{version}")
-        pointer = self._at(f"_current.{version}")
+        pointer = self._at(f"CURRENT.{version}")
         stream = self._fs.create(pointer, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        old = self._at("_current")
+        old = self._at("CURRENT")
         if self._fs.exists(old):
             self._fs.delete(old, False)
         if not self._fs.rename(pointer, old):

@@ -91,10 +91,25 @@ def digest(content: Column, algorithm: str = "sha256") -> Column:
     return F.sha2(content, int(algorithm.removeprefix("sha")))
 
 
+def _empty(spark: SparkSession, root: str) -> list[str]:
+    """Files of no bytes, which the binary reader leaves out."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
+
+
 def manifest(spark: SparkSession, bag: str, algorithms: tuple[str, ...] = ("sha256", "sha512")) -> DataFrame:
     """(path, alg, digest, length) of every payload file; each file is read once."""
     root = f"{bag.rstrip('/')}/data"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    empty = [(p, 0, bytearray()) for p in _empty(spark, root)]
+    files = files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else files
     path = F.regexp_replace("path", f"^.*?{os.path.basename(bag.rstrip('/'))}/data/", "data/")
     digests = F.array(*(F.struct(F.lit(a).alias("alg"), digest(F.col("content"), a).alias("digest")) for a in algorithms))
     return files.select(path.alias("path"), "length", F.explode(digests).alias("d")).select("path", "d.alg", "d.digest", "length")
@@ -131,7 +146,7 @@ class Bag:
         for folder in self.FOLDERS:
             os.makedirs(f"{self.path}/{folder}", exist_ok=True)
         if not any(files for _, _, files in os.walk(f"{self.path}/data")):
-            open(f"{self.path}/data/.keep", "w").close()
+            open(f"{self.path}/data/keep", "w").close()
         if not os.path.exists(f"{self.path}/bagit.txt"):
             self._write("bagit.txt", "BagIt-Version: 0.97\nTag-File-Character-Encoding: UTF-8\n")
             self.update(info)

@@ -46,7 +46,7 @@ def folders(spark: SparkSession, directory: str) -> DataFrame:
         return spark.createDataFrame([], RECORD).withColumn("folder", F.lit(""))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", RECORD_FILE).load(directory)
     name = F.regexp_extract("path", r"/(PMC[^/]*)/[^/]+$", 1)
-    texts = files.select(name.alias("folder"), F.decode("content", F.lit("UTF-8")).alias("text")).where(F.col("folder") != "")
+    texts = files.select(name.alias("folder"), F.decode("content", "UTF-8").alias("text")).where(F.col("folder") != "")
     parsed = texts.withColumn("record", F.from_json("text", RECORD, {"mode": "PERMISSIVE"}))
     broken = F.try_parse_json("text").isNull()
     return parsed.select(F.when(broken, F.raise_error(F.concat(F.lit("broken record in "), "folder"))).otherwise(F.col("folder")).alias("folder"), "record.*")
@@ -77,5 +77,5 @@ def search_results(spark: SparkSession, path: str, prefix: str = "europe_pmc_",
 def stream_folders(spark: SparkSession, directory: str, corpus: Corpus, checkpoint: str, prefix: str = "europe_pmc_"):
     """A streaming query that adds the papers of record files as they appear; each is read once."""
     stream = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", RECORD_FILE).load(directory)
-    rows = stream.select(F.regexp_extract("path", r"/(PMC[^/]*)/[^/]+$", 1).alias("folder"), F.from_json(F.decode("content", F.lit("UTF-8")), RECORD).alias("record")).where("folder <> '' and record is not null").select("folder", "record.*")
+    rows = stream.select(F.regexp_extract("path", r"/(PMC[^/]*)/[^/]+$", 1).alias("folder"), F.from_json(F.decode("content", "UTF-8"), RECORD).alias("record")).where("folder <> '' and record is not null").select("folder", "record.*")
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: corpus.add(from_record(batch, prefix, "folder"))).start()

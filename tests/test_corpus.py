@@ -1,0 +1,168 @@
+import hashlib
+import json
+import os
+
+import pytest
+
+from scholium import cli, sources  # noqa: F401
+from scholium.errors import CorpusError, MetadataError, SourceError
+from scholium.operators import corpus, export, files, ingest, review, runs
+from scholium.sources import registry
+
+PAPERS = [("paper_001", "Climate change effects", "10.1/a"), ("paper_002", "Other matters", "10.1/b"), ("paper_003", "On the CLIMATE", "10.1/c")]
+
+
+def test_corpus_versions(spark, tmp_path):
+    c = corpus.Corpus(spark, f"file://{tmp_path}/c")
+    assert c.list().count() == 0
+    c.add(spark.createDataFrame(PAPERS, "paper_id string, title string, doi string"))
+    assert {r.paper_id for r in c.search("climate").collect()} == {"paper_001", "paper_003"}
+    assert c.search("").count() == 3
+    c.add(spark.createDataFrame([("paper_002", "New", "x"), ("paper_004", "a", "y"), ("paper_004", "b", "y")], "paper_id string, title string, doi string"))
+    assert c.list().count() == 4 and c.get("paper_002")["title"] == "New"
+    with pytest.raises(CorpusError):
+        c.get("none")
+    assert corpus.Corpus(spark, f"file://{tmp_path}/c").list().count() == 4
+
+
+def test_bag(spark, tmp_path):
+    path = f"{tmp_path}/bag"
+    bag = files.Bag(spark, path).create({"Source": "test"})
+    assert bag.valid() and bag.info()["Source"] == "test"
+    with open(f"{path}/data/documents/xml/a.xml", "w") as out:
+        out.write("<a/>")
+    assert [(r.path, r.state) for r in bag.differences().where("alg = 'sha256'").collect()] == [("data/documents/xml/a.xml", "extra")]
+    bag.update()
+    assert bag.valid() and files.Bag(spark, path).create().valid()
+    assert bag.info()["Payload-Oxum"] == "4.2"
+    lines = open(f"{path}/manifest-sha256.txt").read().splitlines()
+    assert f"{hashlib.sha256(b'<a/>').hexdigest()}  data/documents/xml/a.xml" in lines
+    with open(f"{path}/data/documents/xml/a.xml", "w") as out:
+        out.write("<b/>")
+    os.remove(f"{path}/data/keep")
+    assert {(r.path, r.state) for r in bag.differences().collect()} == {("data/documents/xml/a.xml", "changed"), ("data/keep", "missing")}
+    assert not bag.valid() and bag.report()["is_valid"] is False
+
+
+def test_extraction(spark, tmp_path):
+    made = {"a.xml": '<!DOCTYPE p SYSTEM "x.dtd"><p><title>T <i>x</i> y</title><abstract>A</abstract><doi>10.1/x</doi><author>R</author><author/></p>', "b.XML": "<p><title><i>x</i></title></p>", "c.json": '{"title": "J"}', "d.pdf": "not a pdf", "e.txt": "x", "f.xml": "<p>", "g.json": "{"}
+    for name, text in made.items():
+        (tmp_path / name).write_text(text)
+    get = lambda n: files.extract_file(spark, str(tmp_path / n))
+    assert {k: get("a.xml")[k] for k in ("title", "abstract", "doi", "authors")} == {"title": "T ", "abstract": "A", "doi": "10.1/x", "authors": ["R"]}
+    assert get("b.XML")["title"] == "" and "abstract" not in get("b.XML")
+    assert json.loads(get("c.json")["json"]) == {"title": "J"} and get("d.pdf")["file_size"] == 9
+    for bad in ("e.txt", "f.xml", "g.json", "none.xml"):
+        with pytest.raises(MetadataError):
+            get(bad)
+
+
+def harvest(folder):
+    records = {
+        "PMC1": {"title": "Air quality index of Delhi", "abstractText": "PM2.5 and health", "doi": "10.1/d", "pmcid": "PMC1", "authorString": "Author A, Author B.", "firstPublicationDate": "2024-01-01", "journalInfo": {"journal": {"title": "J"}}},
+        "PMC2": {"title": "Parks of Europe", "pmid": "22", "pubYear": 2020},
+        "other": {"title": "not a paper folder"},
+    }
+    for name, record in records.items():
+        os.makedirs(f"{folder}/{name}")
+        with open(f"{folder}/{name}/eupmc_result.json", "w") as out:
+            json.dump(record, out)
+    os.makedirs(f"{folder}/PMC3")
+    with open(f"{folder}/PMC1/fulltext.xml", "w") as out:
+        out.write("<a/>")
+
+
+def test_ingest_review_export(spark, tmp_path):
+    harvest(tmp_path / "h")
+    c = corpus.Corpus(spark, f"file://{tmp_path}/c")
+    assert ingest.ingest_folders(spark, str(tmp_path / "h"), c) == ["europe_pmc_PMC1", "europe_pmc_PMC2"]
+    got = c.get("europe_pmc_PMC1")
+    assert got["authors"] == ["Author A", "Author B"] and got["journal"] == "J" and c.get("europe_pmc_PMC2")["publication_date"] == "2020"
+    has = spark.createDataFrame([("europe_pmc_PMC1", "xml", 4)], "paper_id string, kind string, length long")
+    papers = review.with_files(c.papers(), has)
+    table = review.ranked(review.rows(papers)).collect()
+    assert [r.paper_id for r in table] == ["europe_pmc_PMC1", "europe_pmc_PMC2"] and table[0].score >= 5 and table[1].score < 3
+    edited = review.rows(papers).selectExpr("paper_id", "case when score > 5 then 'include' else 'exclude' end as review_status")
+    made = json.load(open(export.write(papers, "corpus", str(tmp_path / "e"), edited)))
+    assert made["paper_count"] == 1 and list(made["papers"][0]) == export.RECORD and made["papers"][0]["xml_path"].endswith("PMC1.xml")
+    assert json.load(open(export.write(papers, "corpus", str(tmp_path / "f"), edited.where("false"))))["paper_count"] == 0
+    with pytest.raises(CorpusError):
+        export.write(papers.limit(0), "corpus", str(tmp_path / "g"), edited)
+    (tmp_path / "h" / "PMC9").mkdir()
+    (tmp_path / "h" / "PMC9" / "eupmc_result.json").write_text("{")
+    with pytest.raises(Exception, match="broken record"):
+        ingest.ingest_folders(spark, str(tmp_path / "h"), c)
+    assert ingest.folders(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stream_ingest(spark, tmp_path):
+    harvest(tmp_path / "h")
+    c = corpus.Corpus(spark, f"file://{tmp_path}/c")
+    for _ in range(2):
+        ingest.stream_folders(spark, str(tmp_path / "h"), c, str(tmp_path / "k")).awaitTermination()
+    assert {r.paper_id for r in c.list().collect()} == {"europe_pmc_PMC1", "europe_pmc_PMC2"}
+
+
+def test_search_results(spark, tmp_path):
+    hits = [{"pmcid": "PMC5", "title": "A", "authors": [{"fullName": "X Y"}, "Z"]}, {"pmid": "6", "authors": []}, {"arxiv_id": "7", "authors": [{"name": "N"}]}, {}]
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps(hits))
+    got = ingest.search_results(spark, str(path)).collect()
+    assert [r.paper_id for r in got] == ["europe_pmc_PMC5", "europe_pmc_6", "europe_pmc_unknown", "europe_pmc_unknown"] and got[0].authors == ["X Y", "Z"]
+    assert ingest.search_results(spark, str(path), arxiv_ids=True).collect()[2].paper_id == "europe_pmc_7"
+    (tmp_path / "o.json").write_text("{}")
+    for bad in ("o.json", "none.json"):
+        with pytest.raises(CorpusError):
+            ingest.search_results(spark, str(tmp_path / bad))
+
+
+def test_runs(spark, tmp_path):
+    first = runs.record("a", "q", "europe_pmc", 25, ["xml"], "out", 25, 22)
+    path = runs.save(spark, first, str(tmp_path))
+    assert runs.context(spark, path) == ("a", "q") and runs.context(spark, None) == ("", "")
+    row = runs.load(spark, path)
+    from scholium.functions.metadata import run_summary
+
+    assert row.select(run_summary()).first()[0] == "Query 'a': 25 results, 22 downloaded -> out"
+    chain = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "query_name string, revision_of string")
+    assert sorted(map(tuple, runs.revisions(chain).collect())) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2)]
+    config = tmp_path / "c.yaml"
+    config.write_text("# x\nquery_name: a\nlimit: 25\nformats:\n  - xml\ncriteria:\n  least: 10\n")
+    assert runs.config(str(config)) == {"query_name": "a", "limit": 25, "formats": ["xml"], "criteria": {"least": 10}}
+    config.write_text("just text")
+    with pytest.raises(CorpusError):
+        runs.config(str(config))
+
+
+EPMC = {"resultList": {"result": [{"pmcid": "PMC1", "title": "T", "authorList": {"author": [{"fullName": "A B"}]}}, {"pmid": "2", "title": "U"}]}}
+ATOM = b'<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.1</id><title>T</title><summary>S</summary><author><name>N</name></author><published>2024</published><a:primary_category xmlns:a="http://arxiv.org/schemas/atom" term="cs.LG"/></entry></feed>'
+
+
+def test_sources(spark, tmp_path):
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        return json.dumps(EPMC).encode() if "search" in url and "arxiv" not in url else b"<feed/>" if "cat%3A" in url else ATOM
+
+    s = registry.source("europe_pmc", spark, fetch)
+    assert [r.title for r in s.search("x", 1, end_date="2024-01-01").collect()] == ["T"] and "FIRST_PDATE" in asked[-1] and "pageSize=1&" in asked[-1]
+    assert s.paper("1")["authors"][0]["fullName"] == "A B" and s.download("PMC1", str(tmp_path), ["xml"])["success"]
+    a = registry.source("arxiv", spark, fetch)
+    a.spacing = 0
+    assert a.search("x", categories=["cs.XX"]).first().arxiv_id == "2401.1" and "cat%3A" in asked[-2]
+    for bad in (lambda: registry.source("nope", spark), lambda: s.download("PMC1", str(tmp_path), ["doc"]), lambda: s.download("PPR1", str(tmp_path))):
+        with pytest.raises(SourceError):
+            bad()
+    assert {r.name for r in registry.catalog(spark).collect()} == {"Europe PMC", "arXiv"}
+    args = cli.arguments(["search", "--query", "x", "-l", "1", "-o", str(tmp_path / "o")])
+    assert cli.run(args, spark, fetch) == 0 and json.load(open(tmp_path / "o" / "search_results.json"))[0]["pmcid"] == "PMC1"
+    args = cli.arguments(["review", "--search-results", str(tmp_path / "o" / "search_results.json"), "--output-dir", str(tmp_path / "r")])
+    assert cli.run(args, spark) == 0 and (tmp_path / "r" / "review_table.md").exists()
+
+
+def test_config_on_either_side(tmp_path):
+    config = tmp_path / "c.yaml"
+    config.write_text("query: from_file\nlimit: 7\n")
+    for argv in (["--config", str(config), "search"], ["search", "--config", str(config)]):
+        assert cli.arguments(argv).query == "from_file" and cli.arguments([*argv, "--limit", "3"]).limit == 3
