@@ -31,9 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table that this process has written to the shared folder: for when no result is read any more."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
