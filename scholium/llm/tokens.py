@@ -14,7 +14,7 @@ import re
 from itertools import accumulate
 
 ID = 4  # bytes of an id, little-endian
-CACHE = 600_000
+CACHE = 450_000
 _MEETS = re.compile(r"\s\s")
 #: A run of common letters ends a token of either vocabulary where plain punctuation, white space or the end follows; so does
 #: plain punctuation before white space or the end. Anything else stays whole up to the next space.
@@ -22,6 +22,25 @@ _JOINED = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?![^ \
 _PARTED = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?![^ \n\t\r.,;:!?*%&$#])|[.,;:!?*%&$#]+(?![^ \n\t\r])|[^ \n\t\r]+")
 
 
+class Recent:
+    """A cache of two generations: what recurs is carried over when the older one goes.
+
+    ``now`` is a plain dict, whose keys a set's difference tests without a walk.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.now, self.old = size, {}, {}
+
+    def lacking(self, wanted: set[str]) -> list[str]:
+        """What of ``wanted`` is in neither generation; what only the older one has is carried over."""
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+        new = wanted.difference(self.now)
+        known = [w for w in new if w in self.old] if self.old else []
+        self.now.update(zip(known, map(self.old.__getitem__, known)))
+        return list(new.difference(known))
+
+
 class Encoder:
     """ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -36,9 +55,8 @@ class Encoder:
         self.np = numpy
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.joined, self.size = joined, cache
-        self.parts: dict[str, bytes | None] = {}
-        self.fragments: dict[str, bytes] = {}
+        self.joined = joined
+        self.parts, self.fragments = Recent(cache), Recent(cache)
 
     def whole(self, text: str) -> bytes:
         return self.np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -62,31 +80,28 @@ class Encoder:
         inside = at < ends[owner] - 1
         ids, owner = ids[inside], owner[inside]
         raw, edges = ids.tobytes(), (np.searchsorted(owner, np.arange(len(new) + 1)) * ID).tolist()
-        self.fragments.update((u, raw[a:b]) for u, a, b in zip(new, edges, edges[1:], strict=False))
+        self.fragments.now.update((u, raw[a:b]) for u, a, b in zip(new, edges, edges[1:], strict=False))
 
     def _compose(self, parts: list[str], lead: str) -> list[bytes | None]:
         cut = [self._fragments(p, lead) for p in parts]
-        missing = list({f for fs in cut if fs for f in fs}.difference(self.fragments))
+        missing = self.fragments.lacking({f for fs in cut if fs for f in fs})
+        if "\n" in missing:
+            missing.remove("\n")
+            self.fragments.now["\n"] = self.whole("\n")
         for at in range(0, len(missing), 4096):
             self._learn(missing[at : at + 4096])
-        get = self.fragments.__getitem__
+        get = self.fragments.now.__getitem__
         return [None if fs is None else b"".join(map(get, fs)) for fs in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.size:
-            self.parts.clear()
-        if len(self.fragments) > self.size:
-            self.fragments.clear()
-        if not self.fragments:
-            self.fragments["\n"] = self.whole("\n")
         split = [t.split(" ") for t in texts]
         firsts = self._compose([ps[0] for ps in split], "")
         rest: set[str] = set()
         for ps in split:
             rest.update(ps)
-        missing = list(rest.difference(self.parts))
-        self.parts.update(zip(missing, self._compose(missing, " "), strict=True))
-        get, out = self.parts.__getitem__, []
+        missing = self.parts.lacking(rest)
+        self.parts.now.update(zip(missing, self._compose(missing, " "), strict=True))
+        get, out = self.parts.now.__getitem__, []
         for text, first, ps in zip(texts, firsts, split, strict=True):
             try:
                 out.append(first + b"".join(map(get, ps[1:])))

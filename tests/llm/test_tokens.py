@@ -18,7 +18,7 @@ def test_cached_units_equal_whole_texts(name, joined):
     rng = random.Random(3)
     alphabet = ["a", "Be", " ", "  ", "\n", ".", ",", "'s", "é", "́", "9", "***", "\t", " ", "Ж", "-", "\r\n"]
     texts = ODD + ["".join(rng.choices(alphabet, k=rng.randrange(1, 40))) for _ in range(2000)]
-    enc = Encoder(public_tokenizers.path(name), joined)
+    enc = Encoder(public_tokenizers.path(name), joined, 50)
     assert enc.encode(texts) == [enc.whole(t) for t in texts]
     assert enc.encode(texts[::-1]) == [enc.whole(t) for t in texts[::-1]]
 
