@@ -74,7 +74,7 @@ def classes(rows: DataFrame, at: dict[str, str], text: str = "text", head: int =
     live = rows.join(groups.hint("merge"), (size == F.col("g_size")) & (start == F.col("g_start"))).select(
         rid.alias("rid"), "gid", F.col("g_size").alias("size"), ended.alias("ended"), F.when(~ended, F.substring(binary, head + 1, 1 << 30)).alias("rest")
     )
-    live, live_path = written(live, "exact-live")
+    live, _ = written(live, "exact-live")
     remove(spark, groups_path)
     done, offset = [], head
     while True:
@@ -85,11 +85,13 @@ def classes(rows: DataFrame, at: dict[str, str], text: str = "text", head: int =
         rest = F.col("rest")
         keyed = going.select("rid", F.col("gid").alias("parent"), "size", F.substring(rest, 1, width).alias("digit"), F.substring(rest, width + 1, 1 << 30).alias("rest"))
         split = keyed.groupBy("parent", "digit").agg(F.count("*").alias("n"), F.min("rid").alias("gid")).where("n > 1").select("parent", "digit", "gid")
+        split, split_path = written(split, "exact-split")  # a table of its own, so that the join below can split a hot group
         offset += width
         ended = F.col("size") <= offset
         next_live = keyed.join(split, ["parent", "digit"]).select("rid", "gid", "size", ended.alias("ended"), F.when(~ended, F.col("rest")).alias("rest"))
         width *= growth
-        live, live_path = written(next_live, "exact-live")
+        live, _ = written(next_live, "exact-live")
+        remove(spark, split_path)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
