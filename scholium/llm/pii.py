@@ -8,17 +8,22 @@ an entity c is their pointwise mutual information, and c is as good as stated wh
 that comes near its information content IC(c) = log2(N / n(c)). Over the lines
 of the corpus PMI(c; t) / IC(c) is the disclosure of c by t: terms at
 ``REMOVE`` or more are removed, those at ``GENERALISE`` or more replaced by a
-general placeholder. A pair must be seen together in ``SUPPORT`` different
-lines, so that copies of one line, or a word met once, tell nothing.
+general placeholder. Every entity and every word beside one is rated, however
+seldom they are seen, and the same line of different documents counts in each
+of them (lines repeated within a row count once). What chance explains tells
+nothing: if words fell on lines at random, a pair would meet so often with a
+probability of at most exp(-n_c KL(n_ct / n_c, n_t / N)) (Hoeffding), and that
+must not be above ``CHANCE``. So a contact line copied into a few documents
+counts, and a pair met once does in corpora of 1 / CHANCE lines or more, but in
+smaller ones not.
 
 All of it is DataFrame expressions: spans come from the parts between matches
 (split) and the matches (regexp_extract_all), whose lengths add up to offsets.
 The patterns are possessive, and start only where no earlier start could have
 matched, so a long text costs time in proportion to its length.
 
-Scale: only lines with an entity are exploded, and only entities of SUPPORT
-different lines go on; all counts are partly aggregated before their shuffle, so
-a line that a third of all documents share is one row of each task. Corpus
+Scale: only lines with an entity are exploded; all counts are partly aggregated
+before their shuffle, so a line that a third of all documents share is one row of each task. Corpus
 counts of terms are taken for candidate terms, which are broadcast while they
 are at most ``BROADCAST`` and else joined to the counts of all words. The documents
 of each disclosing term are found by a join of their words, under the same check.
@@ -29,6 +34,8 @@ reported like others; repeated rows give a row each; an empty table gives none.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +43,7 @@ from .common import fresh, table, written
 
 REMOVE = 0.9
 GENERALISE = 0.75
-SUPPORT = 3
+CHANCE = 1e-6  # most probability of a pair under independence
 BROADCAST = 200_000  # most terms (some 4 MB) that are sent to every executor; more are joined by a shuffle
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -51,7 +58,8 @@ PATTERNS = {
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 GENERAL = "[TERM]"
-WORD = r"[\p{L}]{3,}"
+LETTER = r"[\p{L}\p{M}\p{N}]"
+WORD = rf"{LETTER}+"
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -107,20 +115,25 @@ def with_spans(rows: DataFrame, text: str, out: str) -> DataFrame:
     return found.select(*kept, F.array_sort(F.concat(*spans)).alias(out))
 
 
+def _lines(body: Column) -> Column:
+    """The different lines of a text."""
+    return F.array_distinct(F.split(body, "\n"))
+
+
 def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, line, term): entities of each different line and the terms beside them."""
+    """(entities, terms) of every line that has entities: these, and the different words beside them."""
     body = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     held = with_spans(body, "body", "spans").where(F.size("spans") > 0)
-    lines = held.select(F.explode(F.split("body", "\n")).alias("line"))
+    lines = held.select(F.explode(_lines(F.col("body"))).alias("line"))
     found = with_spans(lines, "line", "spans").where(F.size("spans") > 0)
     entities = F.array_distinct(F.transform("spans", lambda s: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1), F.lit(":"), s["found"])))
     rest = F.aggregate("spans", F.col("line"), lambda acc, s: F.replace(acc, s["found"], F.lit(" ")))
-    return found.select(entities.alias("entities"), F.xxhash64("line").alias("line"), F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0))).alias("terms"))
+    return found.select(entities.alias("entities"), F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0))).alias("terms"))
 
 
 def line_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term): the different words of each line of the corpus."""
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("line"))
+    lines = docs.select(F.explode(_lines(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("line"))
     return lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))).alias("term"))
 
 
@@ -129,15 +142,13 @@ def _few(terms: DataFrame) -> DataFrame | None:
     return F.broadcast(terms) if terms.count() <= BROADCAST else None
 
 
-def disclosing(docs: DataFrame, text: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, text: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
     """(term, disclosure, removed): the terms that tell too much of some entity."""
     found, _ = written(contexts(docs, text), "pii-contexts")
-    single = found.select(F.explode("entities").alias("entity"), "line")
-    entities = single.groupBy("entity").agg(F.count("*").alias("n_c"), F.count_distinct("line").alias("different")).where(F.col("different") >= support)
-    entities, _ = written(entities.select("entity", "n_c"), "pii-entities")
-    pairs = found.select(F.explode("entities").alias("entity"), "line", "terms").join(entities, "entity").select("entity", "n_c", "line", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct"), F.count_distinct("line").alias("different")).where(F.col("different") >= support)
-    pairs, _ = written(pairs.select("entity", "n_c", "term", "n_ct"), "pii-pairs")
+    single = found.select(F.explode("entities").alias("entity"), "terms")
+    entities = single.groupBy("entity").agg(F.count("*").alias("n_c"))
+    pairs = single.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    pairs, _ = written(pairs.join(entities, "entity").select("term", "n_c", "n_ct").distinct(), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit(False).alias("removed"))
     candidates, _ = written(pairs.select("term").distinct(), "pii-candidates")
@@ -145,10 +156,13 @@ def disclosing(docs: DataFrame, text: str = "text", remove: float = REMOVE, gene
     few = _few(candidates)
     counted = (seen.join(few, "term") if few is not None else seen).groupBy("term").agg(F.count("*").alias("n_t"))
     counted = counted if few is not None else counted.join(candidates, "term")
-    size = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"))).cast("double").alias("n"))
+    size = docs.agg(F.sum(F.size(_lines(F.coalesce(F.col(f"`{text}`"), F.lit(""))))).cast("double").alias("n"))
     rated = pairs.join(counted, "term").crossJoin(F.broadcast(size))
     content = F.log2(F.col("n") / F.col("n_c"))
     information = F.log2(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    apart, absent = F.col("n_c") - F.col("n_ct"), 1 - F.col("n_t") / F.col("n")
+    evidence = F.col("n_ct") * information * math.log(2) + F.when(apart > 0, apart * F.ln(apart / F.col("n_c") / absent)).otherwise(0.0)
+    rated = rated.where((information > 0) & (evidence >= -math.log(chance)))
     rated = rated.select("term", F.when(content > 0, information / content).otherwise(0.0).alias("disclosure"))
     rated = rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
     return written(rated.select("term", "disclosure", (F.col("disclosure") >= remove).alias("removed")), "pii-terms")[0]
@@ -158,7 +172,7 @@ def _term_spans(rows: DataFrame, text: str, terms: str, out: str, rank: int) ->
     """Adds spans of each row's own list of terms, as whole words in any case."""
     kept = [F.col(f"`{c}`") for c in rows.columns]
     parts, matches = fresh(rows, "t_parts", "t_matches")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{LETTER})(?:"), F.array_join(terms, "|"), F.lit(rf")(?!{LETTER})"))
     some = F.size(F.coalesce(F.col(terms), F.array().cast("array<string>"))) > 0
     rows = rows.select(*kept, F.when(some, F.split(F.col(text), pattern, -1)).alias(parts), F.when(some, F.regexp_extract_all(F.col(text), pattern, F.lit(0))).alias(matches))
     return rows.select(*kept, _spans(F.col(parts), F.col(matches), TERM, rank).alias(out))
@@ -175,7 +189,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: D
     few = _few(terms)
     own = words.join(terms if few is None else few, "term").groupBy(d_key).agg(F.sort_array(F.collect_set("term")).alias(every), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("term")))).alias(gone))
     own, _ = written(own, "pii-own")
-    rows = rows.join(own, F.col(f"`{key}`").eqNullSafe(F.col(d_key)), "left").drop(d_key)
+    rows = rows.join(own.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col(d_key)), "left").drop(d_key)
     return _term_spans(rows, body, every, more, len(KINDS)).drop(every)
 
 

@@ -94,3 +94,19 @@ def test_query_matches_definition(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     for r in pii.op1_pii(spark, "/root/testdata/sf0.01").collect():
         assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == plain(texts[r.doc_id])
+
+
+def test_copied_contact_lines_disclose(spark):
+    """A signature line that many documents share counts in each of them; short words and words with digits are terms too."""
+    rows = [(i, f"text of its own {i}\nJo Quimby9 rare@x.org\nJo Quimby9 rare@x.org") for i in range(20)] + [(100 + i, f"other text {i}\nof its own") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.term: r.removed for r in pii.disclosing(docs).collect()} == {"jo": True, "quimby9": True}
+    assert {r.doc_id: r.n_term for r in pii.report(docs).collect()} == {d: 4 if d < 100 else 0 for d, _ in rows}
+
+
+def test_once_seen_entities_are_rated(spark):
+    """A pair met once counts as soon as the corpus is so large that chance does not explain it."""
+    docs = spark.range(1, 1_100_000).selectExpr("id AS doc_id", "'other line' AS text").union(spark.createDataFrame([(0, "other Quimby rare@x.org")], "doc_id long, text string"))
+    assert {r.term: r.removed for r in pii.disclosing(docs).collect()} == {"quimby": True}
+    assert pii.disclosing(docs.where("doc_id < 1000")).count() == 0
+    assert pii.disclosing(docs.where("doc_id < 1000"), chance=0.01).first().term == "quimby"
