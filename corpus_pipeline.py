@@ -39,7 +39,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document with their sequence and place."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, special=True)
 
 
 STAGES = [

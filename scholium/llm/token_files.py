@@ -17,7 +17,8 @@ its number. A writer streams block by block into a file of its attempt and
 renames it when complete, so a lost executor's task can be run again. A reader
 also holds one block and one document at most.
 
-Defined results: a null or empty text is the end id alone; null doc_ids come
+Defined results: the query takes a special token written out in a text for that
+token, as the library does (``special``); a null or empty text is the end id alone; null doc_ids come
 first; repeated rows stay; an empty table gives no file and an empty result.
 """
 
@@ -136,7 +137,7 @@ def read_shard(source, size: int):
         held, have, start = [joined[n:]], have - n, start + n
 
 
-def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str = "doc_id", text: str = "text", per_shard: int = DOCS, end: int = END) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str = "doc_id", text: str = "text", per_shard: int = DOCS, end: int = END, special: bool = False) -> DataFrame:
     """Encode ``docs`` and write its shards to ``folder``; the manifest: shard, file, n_docs, n_tokens."""
     path = path or vocabulary()
     pairs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -146,7 +147,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
     last = np.asarray([end], "<u2").tobytes()
 
     def encode(batches):
-        enc = encoder(path, False)
+        enc = encoder(path, False, special)
         if enc.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         for batch in batches:
@@ -213,4 +214,4 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
-    return read_shards(write_shards(table(spark, sf_dir, "documents"), new_path(spark, "token-shards")))
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), new_path(spark, "token-shards"), special=True))

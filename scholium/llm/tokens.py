@@ -46,15 +46,18 @@ class Encoder:
 
     ``joined``: the pre-tokenizer keeps one leading space with a word (byte-level
     vocabularies); else white space is dropped and only parts words.
+    ``special``: a special token written out in a text, such as <|endoftext|>, gets
+    that token's id, which is the library's plain call; else it is text like any other.
+    No fragment rule cuts within one.
     """
 
-    def __init__(self, path: str, joined: bool, cache: int = CACHE):
+    def __init__(self, path: str, joined: bool, cache: int = CACHE, special: bool = False):
         import numpy
         from tokenizers import Tokenizer
 
         self.np = numpy
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.joined = joined
         self.parts, self.fragments = Recent(cache), Recent(cache)
 
@@ -113,14 +116,14 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, joined: bool) -> Encoder:
+def encoder(path: str, joined: bool, special: bool = False) -> Encoder:
     """One encoder for each worker process and vocabulary: its cache outlives the task."""
-    key = (path, joined)
+    key = (path, joined, special)
     if key not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[key] = Encoder(path, joined)
+        _encoders[key] = Encoder(path, joined, special=special)
     return _encoders[key]
 
 

@@ -112,3 +112,30 @@ def test_packing_edges(spark):
 def test_bins_close_the_fullest():
     bins = packing.Bins(10, 2)
     assert [bins.put(n) for n in (6, 5, 7, 5, 3)] == [(0, 0), (1, 0), (2, 0), (1, 5), (2, 7)]
+
+
+LITERAL = ["one doc.<|endoftext|>Next doc", "<|endoftext|>", "a <|endoftext|> b", "x\n<|startoftext|>\ny", "<|ENDOFTEXT|> it,<|endoftext|>'s"]
+
+
+@pytest.mark.parametrize("name,joined", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_literal_special_tokens_equal_the_plain_call(name, joined):
+    rng = random.Random(4)
+    alphabet = ["a", "Be", " ", "  ", "\n", ".", "'s", "é", "9", "\t", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
+    texts = LITERAL + ["".join(rng.choices(alphabet, k=rng.randrange(1, 20))) for _ in range(3000)]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    got = Encoder(public_tokenizers.path(name), joined, 50, special=True).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_queries_take_literal_special_tokens(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(LITERAL)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    words, bytewise = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    files = sorted(map(tuple, token_files.op6_token_files(spark, str(tmp_path)).collect()))
+    pieces = {r.doc_id: r for r in packing.op9_best_fit_packing(spark, str(tmp_path)).collect()}
+    for (doc_id, at, n, crc), text in zip(files, LITERAL, strict=True):
+        ids = np.asarray(words.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert (at, n, crc) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += n
+        ids = np.asarray(bytewise.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert (pieces[doc_id].length, pieces[doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
