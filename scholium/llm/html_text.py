@@ -6,6 +6,10 @@ same of the blocks before and after it, and what its surroundings are called. A
 decision tree, grown from the small labelled pages of ``html_samples``, tells
 main text from menus, notices, adverts, forms, footers and reader comments.
 
+Classes of html and body, and classes for a state or layout, name nothing; main starts
+afresh within named surroundings, and so does article, but for those of comments,
+adverts and related pages and for nav, footer, aside, menu and dialog elements.
+
 Scripts, styles and the head are no text. The tokenizer is one pass of a
 regular expression over the page, so a page costs time in proportion to its length
 and memory in proportion to the page itself.
@@ -33,6 +37,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _CALLED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=>/])|display\s*:\s*none", re.I)
+_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 #: Elements whose content is no text of the page.
@@ -41,12 +46,16 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("br img input hr meta link wbr area base col embed source track".split())
 MAIN_TAGS = frozenset("article main".split())
-SIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
+SIDE_TAGS = frozenset("nav footer aside menu dialog".split())
 #: Words of classes, ids and roles that name main text or what surrounds it.
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies copyright disclaimer disqus footer form header login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted related replies reply respond search share sharing sidebar social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Words that make a class a state or layout of a page, such as has-sidebar, comments-open or header-fixed, and not a name.
+STATE_WORDS = frozenset("active disabled enabled closed fixed full has is layout no off on open show shown sticky visible with without".split())
+#: Names whose blocks have articles of their own, which don't start afresh.
+HOLDERS = frozenset("ad ads advert advertisement adverts comment comments disqus promo promoted related replies reply respond sponsor sponsored".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KINDS = {"p": 1, "li": 3, "dd": 3, "dt": 3, "td": 4, "th": 4, "blockquote": 1, "pre": 1, "figcaption": 1} | dict.fromkeys(HEADINGS, 2)
 FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "main", "side", "kind", "stop"]
@@ -64,13 +73,15 @@ class Block:
 
 
 def _called(tag: str) -> tuple[int, int]:
-    """Whether a tag's class, id or role names main text, and whether its surroundings."""
+    """Whether a tag's class, id or role names main text, and whether its surroundings (2: such as have articles of their own)."""
     main = side = 0
     for found in _CALLED.findall(tag):
-        words = set(_WORDS.findall("".join(found).lower()))
-        main |= bool(words & MAIN_WORDS)
-        side |= bool(words & SIDE_WORDS)
-    return int(main and not side), int(side)
+        for name in "".join(found).lower().split():
+            words = set(_WORDS.findall(name))
+            main |= bool(words & MAIN_WORDS)
+            if words & SIDE_WORDS and not words & STATE_WORDS:
+                side = max(side, 2 if words & HOLDERS else 1)
+    return int(main and not side), side
 
 
 def blocks(page: str) -> list[Block]:
@@ -87,7 +98,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(p.split()) for p, in_link in pieces if in_link)
-                out.append(Block(text, words, min(1.0, linked / words), now[1], now[2], now[3], now[4]))
+                out.append(Block(text, words, min(1.0, linked / words), now[1], int(now[2] > 0), now[3], now[4]))
             pieces.clear()
 
     at, end = 0, len(page)
@@ -126,11 +137,19 @@ def blocks(page: str) -> list[Block]:
             if name in KINDS and stack and stack[-1][0] in ("p", "li", "dd", "dt", "td", "th", *HEADINGS) and (stack[-1][0] in ("p", *HEADINGS) or stack[-1][0] == name):
                 stack.pop()
             _, main, side, _, label = stack[-1] if stack else ("", 0, 0, 0, None)
-            by_main, by_side = _called(token)
-            if name in SIDE_TAGS or by_side or name == "header" and not main or _HIDDEN.search(token):
-                side = 1
-            elif name in MAIN_TAGS or by_main:
+            by_main, by_side = _called(token) if name not in ("html", "body") else (0, 0)
+            if name in SIDE_TAGS:
+                side = 2
+            elif name == "main" or _ROLE.search(token):
+                main, side = 1, 3 if side == 3 else 0
+            elif name == "form" or by_side or name == "header" and not main:
+                side = max(side, by_side, 1)
+            elif name in MAIN_TAGS:
+                main, side = 1, side if side > 1 else 0
+            elif by_main:
                 main = 1
+            if name not in ("html", "body") and _HIDDEN.search(token):
+                side = 3
             if " data-main" in token:
                 label = int('data-main="1"' in token)
             stack.append((name, main, side, KINDS.get(name, 0), label))

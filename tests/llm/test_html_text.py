@@ -57,3 +57,18 @@ def test_markup_and_edges(spark):
 def test_long_page():
     assert html_text.main_text("<article>" + "<p>word " * 50_000, TREE).count("word") == 50_000
     assert html_text.main_text("<div>" * 20_000 + "<article><p>deep inside</p>", TREE) == "deep inside"
+
+
+TEXT = "Water levels rose again in the night and the old mill had to close its doors. " * 3
+ARTICLE = f"<article><h1>Mill</h1><p>{TEXT}</p><p>Shut.</p></article>"
+WANTED = f"Mill\n\n{TEXT.strip()}\n\nShut."
+
+
+def test_layout_classes_name_nothing():
+    """Classes of the whole page or of a state leave the article; comments within it and related pages go."""
+    for start in ("<body class='single has-sidebar'>", "<body class='sidebar'>", "<body><div class='header-fixed'>", "<body><div id='page' class='search-enabled'>", "<body><div class='search'>", "<body><form>"):
+        assert html_text.main_text(start + ARTICLE + f"<aside>{TEXT}</aside>", TREE) == WANTED, start
+    assert html_text.main_text("<body>" + ARTICLE.replace("<article", "<article class='post comments-open'"), TREE) == WANTED
+    assert html_text.main_text(f"<body class='has-sidebar'><div class='menu'><main><p>{TEXT}</p></main></div>", TREE) == TEXT.strip()
+    for held in ("<div class='comments'>", "<div class='related'>", "<aside>", "<div hidden>"):
+        assert html_text.main_text(f"<body>{ARTICLE}{held}<article><p>{TEXT}</p></article>", TREE) == WANTED, held
