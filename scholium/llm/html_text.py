@@ -15,7 +15,9 @@ regular expression over the page, so a page costs time in proportion to its leng
 and memory in proportion to the page itself.
 
 Defined results: a null or empty html, and one without main text, give an
-empty text of 0 characters; unclosed or stray tags close with their container;
+empty text of 0 characters; unclosed or stray tags close with their container, an
+unclosed head at the first thing that cannot stand in one, and an unclosed select,
+button, object or the like holds nothing; the text of formulas stays;
 rows with a null or repeated page_id give a row each; an empty table gives none.
 """
 
@@ -41,9 +43,14 @@ _ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template iframe svg math head title textarea select button object canvas audio video".split())
-RAW = frozenset("script style textarea title noscript template iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+SKIPPED = frozenset("script style noscript template iframe svg head title textarea select button object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe annotation annotation-xml".split())
+#: What can stand in a head; anything else ends it, as HTML lets authors leave out </head>.
+IN_HEAD = frozenset("html head base basefont bgsound link meta script style noscript template title".split())
+#: Skipped elements that hold others of their name; each other one that is opened anew before it is closed was never closed.
+NESTED = frozenset(["svg"])
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split()) | MATH
 VOID = frozenset("br img input hr meta link wbr area base col embed source track".split())
 MAIN_TAGS = frozenset("article main".split())
 SIDE_TAGS = frozenset("nav footer aside menu dialog".split())
@@ -84,6 +91,24 @@ def _called(tag: str) -> tuple[int, int]:
     return int(main and not side), side
 
 
+class _Ahead:
+    """Whether an element that is opened at a place of the page is closed; each name's tags are sought once over the page."""
+
+    def __init__(self, page: str):
+        self.page, self.next = page, {}
+
+    def _find(self, tag: str, at: int) -> int:
+        found = self.next.get(tag, -1)
+        if found < at:
+            m = re.compile(rf"{tag}(?=[\s/>])", re.I).search(self.page, at)
+            found = self.next[tag] = m.start() if m else len(self.page)
+        return found
+
+    def closed(self, name: str, at: int) -> bool:
+        end = self._find(f"</{name}", at)
+        return end < len(self.page) and (name in NESTED or self._find(f"<{name}", at) > end)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
@@ -91,6 +116,7 @@ def blocks(page: str) -> list[Block]:
     pieces: list[tuple[str, bool]] = []
     link, skip = False, 0
     now = ("", 0, 0, 0, None)
+    ahead = _Ahead(page)
 
     def flush():
         if pieces:
@@ -101,11 +127,21 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, words, min(1.0, linked / words), now[1], int(now[2] > 0), now[3], now[4]))
             pieces.clear()
 
+    def end_head():
+        nonlocal skip
+        depth = next((i for i, t in enumerate(stack[:2]) if t[0] == "head"), None)
+        if depth is not None:
+            skip -= sum(t[0] in SKIPPED for t in stack[depth:])
+            del stack[depth:]
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
         token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
+            if skip and stack[-1][0] == "head" and token.strip():
+                end_head()
+                now = stack[-1] if stack else ("", 0, 0, 0, None)
             if not skip:
                 pieces.append((token, link))
             continue
@@ -116,9 +152,12 @@ def blocks(page: str) -> list[Block]:
             continue
         name = named[1].lower()
         closing = token[1] == "/"
+        if skip and not closing and name not in IN_HEAD:
+            end_head()
+            now = stack[-1] if stack else ("", 0, 0, 0, None)
         if name in RAW and not closing:
             stop = re.compile(rf"</{name}\s*[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else end
+            at = stop.end() if stop else at if name.startswith("annotation") else end
             continue
         if name in INLINE:
             if name == "a":
@@ -133,7 +172,9 @@ def blocks(page: str) -> list[Block]:
                 skip -= sum(t[0] in SKIPPED for t in stack[depth:])
                 del stack[depth:]
                 link = False
-        elif name not in VOID and not token.endswith("/>"):
+        elif name == "head" and any(t[0] != "html" for t in stack):
+            pass
+        elif name not in VOID and not token.endswith("/>") and (name not in SKIPPED or name == "head" or ahead.closed(name, at)):
             if name in KINDS and stack and stack[-1][0] in ("p", "li", "dd", "dt", "td", "th", *HEADINGS) and (stack[-1][0] in ("p", *HEADINGS) or stack[-1][0] == name):
                 stack.pop()
             _, main, side, _, label = stack[-1] if stack else ("", 0, 0, 0, None)

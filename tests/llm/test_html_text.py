@@ -72,3 +72,16 @@ def test_layout_classes_name_nothing():
     assert html_text.main_text(f"<body class='has-sidebar'><div class='menu'><main><p>{TEXT}</p></main></div>", TREE) == TEXT.strip()
     for held in ("<div class='comments'>", "<div class='related'>", "<aside>", "<div hidden>"):
         assert html_text.main_text(f"<body>{ARTICLE}{held}<article><p>{TEXT}</p></article>", TREE) == WANTED, held
+
+
+def test_left_out_ends():
+    """An unclosed head, select, button or object does not drop the rest."""
+    for start in ("<html><head><title>T</title><body>", "<html><head><meta charset=x><title>T</title>", "<head><style>p{}</style><link rel=x>"):
+        assert html_text.main_text(start + ARTICLE, TREE) == WANTED, start
+    assert html_text.main_text(f"<head><title>T</title>{TEXT}<p>{TEXT}</p>", TREE).count("mill") == 6
+    for name in ("select", "button", "object", "canvas", "video"):
+        page = f"<body><div><{name}>{ARTICLE}</div><p><{name}>x</{name}></p>"
+        assert WANTED in html_text.main_text(page, TREE), name
+        assert html_text.main_text(f"<body><div><{name}>x<p>{TEXT}</p></{name}>{ARTICLE}</div>", TREE) == WANTED, name
+    assert html_text.main_text("<body>" + ARTICLE.replace("Shut.", "So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> it is."), TREE).endswith("\n\nSo x=2 it is.")
+    assert html_text.main_text("<body>" + "<button>" * 20_000 + ARTICLE, TREE) == WANTED
