@@ -3,13 +3,14 @@
 Pass one encodes every whole text, appends the end id and cuts only what is
 longer than a sequence: the first piece takes the remainder, the others are
 full. Full pieces are sequences by themselves. Pass two deals the remainders,
-small rows without text, to partitions by document and packs each partition
+small rows without text, to partitions by document, and packs each partition
 online: ``OPEN`` open bins, found by a bitset keyed by free space whose lowest
-set bit at or above the piece's length is the best fit; when no bin is left to
-open, the fullest open bin closes. Within a partition of about ``ROWS``
-remainders the longest come first, so short ones fill what long ones left; on
-the test tables this is within 0.2 % of the lower bound, against 2.4 % in
-random order.
+set bit at or above the piece's length is the best fit; when no further bin may
+open, the fullest open bin closes for good. Pieces arrive in the order of a hash of their
+document; a packer looks ahead by ``AHEAD`` arrivals at most and places those
+longest first, so short ones fill what long ones left. It holds that
+many pieces and bins, whatever the number of either. On the test tables this is
+within 0.5 % of the lower bound, and without looking ahead within 3 %.
 
 Defined results: the query and the pipeline take a special token written out in a text
 for that token, as the library does (``special``); a null or empty text is the end id alone; rows with a null or
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import ID, encoder, slices
+from .tokens import ID, encoder, ended, slices
 
 CAPACITY = 1024
 END = 2
-OPEN = 32_768
+OPEN = 1024
+AHEAD = 1024
 ROWS = 40_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_END = np.asarray([END], dtype="<u4").tobytes()
 
 
 def vocabulary() -> str:
@@ -42,8 +43,8 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
-    """(piece, start, length, crc32) of a document's ids; only the first piece may be shorter."""
+def cut(ids: memoryview, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
+    """(piece, start, length, crc32) of the bytes of a document's ids; only the first piece may be shorter."""
     n = len(ids) // ID
     first = n % capacity or min(n, capacity)
     edges = [0, *range(first, n + 1, capacity)]
@@ -57,9 +58,10 @@ def pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     def run(batches):
         enc = encoder(path, True, special)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                rows = [(d, *p) for d, tokens in zip(ids[a:b], enc.encode(texts[a:b]), strict=True) for p in cut(tokens + _END, capacity)]
+            for a, b in slices(batch.column(1)):
+                ids, edges = ended(*enc.encode(batch.column(1).slice(a, b - a)), END)
+                raw, edges = memoryview(ids.tobytes()), (edges * ID).tolist()
+                rows = [(d, *p) for d, s, e in zip(batch.column(0).slice(a, b - a).to_pylist(), edges, edges[1:]) for p in cut(raw[s:e], capacity)]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -102,31 +104,52 @@ class Bins:
         return number
 
 
-def packed(cut_pieces: DataFrame, parts: int, capacity: int = CAPACITY, limit: int = OPEN) -> DataFrame:
+def placed(lengths: list[int], bins: Bins) -> list[tuple[int, int]]:
+    """(bin, offset) of pieces that arrived together, placed longest first."""
+    out = [(0, 0)] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
+        out[i] = bins.put(lengths[i])
+    return out
+
+
+def packed(cut_pieces: DataFrame, parts: int, capacity: int = CAPACITY, limit: int = OPEN, ahead: int = AHEAD) -> DataFrame:
     """``cut_pieces`` (a written table) with sequence_id and offset."""
     schema = f"{PIECES}, sequence_id long, offset long"
 
     def pack(batches):
         from pyspark import TaskContext
 
-        base, bins = TaskContext.get().partitionId() << 40, Bins(capacity, limit)
+        base, bins, waiting = TaskContext.get().partitionId() << 40, Bins(capacity, limit), []
+
+        def full(last: bool):
+            nonlocal waiting
+            held = pa.Table.from_batches(waiting).combine_chunks() if waiting else None
+            waiting = []
+            while held is not None and len(held) and (last or len(held) >= ahead):
+                some, held = held.slice(0, ahead).to_batches()[0], held.slice(ahead)
+                seq, off = zip(*placed(some.column(3).to_pylist(), bins), strict=True)
+                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array([base + s for s in seq], pa.int64()), pa.array(off, pa.int64())], [*some.schema.names[:5], "sequence_id", "offset"])
+            if held is not None and len(held):
+                waiting = held.to_batches()
+
         for batch in batches:
-            places = [bins.put(n) for n in batch.column(3).to_pylist()]
-            seq, off = zip(*places, strict=True) if places else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([base + s for s in seq], pa.int64()), pa.array(off, pa.int64())], [*batch.schema.names[:5], "sequence_id", "offset"])
+            waiting.append(batch)
+            yield from full(False)
+        yield from full(True)
 
     part = cut_pieces.where(F.col("length") < capacity)
-    dealt = part.repartition(parts, F.xxhash64("doc_id", "ids_crc32")).sortWithinPartitions(F.col("length").desc(), "doc_id", "ids_crc32")
+    arrival = F.xxhash64("doc_id", "ids_crc32")
+    dealt = part.repartition(parts, arrival).sortWithinPartitions(arrival, "doc_id", "ids_crc32")
     some = dealt.mapInArrow(pack, schema)
     full = cut_pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return some.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, rows: int = ROWS, capacity: int = CAPACITY, limit: int = OPEN, special: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, rows: int = ROWS, capacity: int = CAPACITY, limit: int = OPEN, ahead: int = AHEAD, special: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and place."""
     cuts, _ = written(pieces(docs, path, capacity=capacity, special=special), "pieces")
     n = cuts.where(F.col("length") < capacity).count()
-    return packed(cuts, max(1, -(-n // rows)), capacity, limit)
+    return packed(cuts, max(1, -(-n // rows)), capacity, limit, ahead)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

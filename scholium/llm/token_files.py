@@ -11,15 +11,16 @@ u8 width, packed bits, u32 positions, u32 values); footer (u64 block starts,
 i64 doc_ids, u8 null flags, u64 ids of each document); u64 footer start, u64
 blocks, u64 documents, ``MAGIC``.
 
-Encoding happens before the shuffle, which moves 16-bit ids rather than text.
-The ranges come from quantiles of doc_id alone, and each becomes one task by
-its number. A writer streams block by block into a file of its attempt and
-renames it when complete, so a lost executor's task can be run again. A reader
-also holds one block and one document at most.
+The engine's range partitioning deals whole texts to the shards, a task each, by
+doc_id and then the place of reading, so rows without doc_id or with one that
+recurs are spread as well. A task encodes and writes as it reads: block by block into a
+file of its attempt, which it renames when complete, so a lost executor's task
+can be run again. A reader also holds one block and one document at most. Where
+a shard's ids start follows from sums over blocks of ``SUMMED`` shards and within them.
 
 Defined results: the query takes a special token written out in a text for that
 token, as the library does (``special``); a null or empty text is the end id alone; null doc_ids come
-first; repeated rows stay; an empty table gives no file and an empty result.
+first; rows that repeat a doc_id stay, in the order of reading; an empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -29,17 +30,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, table, written
-from .tokens import encoder, slices
+from .tokens import encoder, ended, slices
 
 MAGIC = b"PFORIDS1"
 BLOCK = 4096
 PERCENTILE = 0.98
 END = 2
 DOCS = 8192
+SUMMED = 1024
 _HEAD = struct.Struct("<IIIB")
 _TAIL = struct.Struct("<QQQ8s")
 
@@ -85,9 +87,10 @@ class ShardWriter:
         self.starts, self.docs, self.counts, self.tokens = [], [], [], 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.counts.append(len(ids))
+    def add(self, docs: list[int | None], ids: np.ndarray, counts: list[int]) -> None:
+        """Documents with their ids one after another."""
+        self.docs += docs
+        self.counts += counts
         self.tokens += len(ids)
         self.held.append(ids)
         self.waiting += len(ids)
@@ -96,7 +99,7 @@ class ShardWriter:
             full = len(ids) // self.block * self.block
             for a in range(0, full, self.block):
                 self._put(ids[a : a + self.block])
-            self.held, self.waiting = [ids[full:]], len(ids) - full
+            self.held, self.waiting = [ids[full:].copy()], len(ids) - full
 
     def _put(self, ids: np.ndarray) -> None:
         raw = pack_block(ids, self.percentile)
@@ -140,55 +143,47 @@ def read_shard(source, size: int):
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str = "doc_id", text: str = "text", per_shard: int = DOCS, end: int = END, special: bool = False) -> DataFrame:
     """Encode ``docs`` and write its shards to ``folder``; the manifest: shard, file, n_docs, n_tokens."""
     path = path or vocabulary()
-    pairs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    shards = max(1, -(-pairs.count() // per_shard))
-    marks = pairs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    bounds = np.asarray(sorted(set(marks)))
-    last = np.asarray([end], "<u2").tobytes()
-
-    def encode(batches):
-        enc = encoder(path, False, special)
-        if enc.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this vocabulary need more than 16 bits")
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                raw = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + last for x in enc.encode(texts[a:b])]
-                shard = [0 if d is None else int(np.searchsorted(bounds, d)) for d in ids[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(ids[a:b], pa.int64()), pa.array(raw, pa.binary())], ["shard", "doc_id", "ids"])
+    pairs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("place"))
+    shards = max(1, -(-docs.count() // per_shard))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
 
     def write(batches):
         from pyarrow import fs
         from pyspark import TaskContext
 
-        task = TaskContext.get()
+        task, enc = TaskContext.get(), encoder(path, False, special)
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         writer = out = None
         name = f"{root}/shard-{task.partitionId():07d}.pfor"
         for batch in batches:
-            for doc_id, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for a, b in slices(batch.column(1)):
                 if writer is None:
                     out = system.open_output_stream(f"{name}.{task.taskAttemptId()}")
                     writer = ShardWriter(out)
-                writer.add(doc_id, np.frombuffer(raw, "<u2").astype("<u4"))
+                ids, edges = ended(*enc.encode(batch.column(1).slice(a, b - a)), end)
+                writer.add(batch.column(0).slice(a, b - a).to_pylist(), ids, np.diff(edges).tolist())
         if writer is not None:
             writer.close()
             out.close()
             system.move(f"{name}.{task.taskAttemptId()}", name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [f"{folder}/{name.rpartition('/')[2]}"], "n_docs": [len(writer.docs)], "n_tokens": [writer.tokens]})
 
-    tokens = pairs.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = tokens.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = pairs.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(dealt.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long"), "token-manifest")[0]
 
 
+def _based(manifest: DataFrame) -> DataFrame:
+    """(file, base): the ids of all shards before each; one task sums but a row for each ``SUMMED`` shards."""
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = manifest.select("file", "shard", "n_tokens", F.floor(F.col("shard") / SUMMED).alias("many"))
+    sums = shards.groupBy("many").agg(F.sum("n_tokens").alias("n_tokens")).select("many", before(Window.orderBy("many")).alias("held"))
+    return shards.withColumn("within", before(Window.partitionBy("many").orderBy("shard"))).join(sums, "many").select("file", (F.col("held") + F.col("within")).alias("base"))
+
+
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the manifest's files: doc_id, start, n_tokens, ids_crc32."""
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = manifest.select("file", before.alias("base")).repartition(max(1, manifest.count()))  # a task for each file
+    based = _based(manifest).repartition(max(1, manifest.count()))  # a task for each file
 
     def read(batches):
         from pyarrow import fs

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -13,14 +14,22 @@ from scholium.llm.tokens import Encoder
 ODD = ["", " ", "a  b", " a", "b ", "x\n\ny <|endoftext|> z", "don't stop é ̈x", "tab\there \n q", "\x1ca\x1d b c  ", "Σας ΟΔΟΣ é İ 中文字 ½ 3²", "a\tb", "\n", "word.\nThen, e-mail@x.org! 'tis 12,5% of***", "x" * 5000]
 
 
+def _encoded(enc, texts):
+    ids, counts = enc.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]]
+
+
 @pytest.mark.parametrize("name,joined", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_units_equal_whole_texts(name, joined):
     rng = random.Random(3)
     alphabet = ["a", "Be", " ", "  ", "\n", ".", ",", "'s", "é", "́", "9", "***", "\t", " ", "Ж", "-", "\r\n"]
     texts = ODD + ["".join(rng.choices(alphabet, k=rng.randrange(1, 40))) for _ in range(2000)]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain.encode_special_tokens = True
     enc = Encoder(public_tokenizers.path(name), joined, 50)
-    assert enc.encode(texts) == [enc.whole(t) for t in texts]
-    assert enc.encode(texts[::-1]) == [enc.whole(t) for t in texts[::-1]]
+    for some in (texts, texts[::-1], texts[:1]):
+        assert _encoded(enc, some) == [plain.encode(t, add_special_tokens=False).ids for t in some]
+    assert _encoded(enc, [None, "a"])[0] == [] == _encoded(enc, [""])[0] and _encoded(enc, []) == []
 
 
 @pytest.mark.parametrize("ids", [[5], [0, 0, 0], list(range(5000)), [1] * 99 + [2**32 - 1], [7, 2**31, 8]])
@@ -35,8 +44,9 @@ def test_shard_round_trip():
     docs = [(None, np.asarray([2], "<u4"))] + [(i, rng.integers(0, 49000, rng.integers(1, 9000)).astype("<u4")) for i in range(30)]
     out = io.BytesIO()
     writer = token_files.ShardWriter(out)
-    for d, ids in docs:
-        writer.add(d, ids)
+    for d, ids in docs[:5]:
+        writer.add([d], ids, [len(ids)])
+    writer.add([d for d, _ in docs[5:]], np.concatenate([x for _, x in docs[5:]]), [len(x) for _, x in docs[5:]])
     writer.close()
     got = list(token_files.read_shard(out, len(out.getvalue())))
     assert [d for d, _, _ in got] == [d for d, _ in docs]
@@ -114,6 +124,36 @@ def test_bins_close_the_fullest():
     assert [bins.put(n) for n in (6, 5, 7, 5, 3)] == [(0, 0), (1, 0), (2, 0), (1, 5), (2, 7)]
 
 
+def _slow(lengths, capacity, limit, ahead):
+    """The packer by its definition, from a plain list of open bins, that touched last at its end; and how often one closed."""
+    opened, made, closed, out = [], 0, 0, [None] * len(lengths)
+    for at in range(0, len(lengths), ahead):
+        for i in sorted(range(at, min(at + ahead, len(lengths))), key=lambda i: -lengths[i]):
+            fits = [(free, -p) for p, (_, free) in enumerate(opened) if free >= lengths[i]]
+            if fits:
+                b, free = opened.pop(-min(fits)[1])
+            else:
+                if len(opened) == limit:
+                    opened.pop(-min((free, -p) for p, (_, free) in enumerate(opened))[1])
+                    closed += 1
+                b, free, made = made, capacity, made + 1
+            out[i] = (b, capacity - free)
+            if free > lengths[i]:
+                opened.append((b, free - lengths[i]))
+    return out, closed
+
+
+@pytest.mark.parametrize("low,high,ahead", [(300, 1024, packing.AHEAD), (500, 900, packing.AHEAD), (400, 1024, 1), (1, 1024, 7)])
+def test_bins_equal_the_definition(low, high, ahead):
+    lengths = np.random.default_rng(low).integers(low, high, 4000).tolist()
+    bins = packing.Bins()
+    assert bins.limit == packing.OPEN
+    got = [x for at in range(0, len(lengths), ahead) for x in packing.placed(lengths[at : at + ahead], bins)]
+    wanted, closed = _slow(lengths, packing.CAPACITY, packing.OPEN, ahead)
+    assert got == wanted
+    assert (closed > 0) == (low >= 300)
+
+
 LITERAL = ["one doc.<|endoftext|>Next doc", "<|endoftext|>", "a <|endoftext|> b", "x\n<|startoftext|>\ny", "<|ENDOFTEXT|> it,<|endoftext|>'s"]
 
 
@@ -123,8 +163,8 @@ def test_literal_special_tokens_equal_the_plain_call(name, joined):
     alphabet = ["a", "Be", " ", "  ", "\n", ".", "'s", "é", "9", "\t", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
     texts = LITERAL + ["".join(rng.choices(alphabet, k=rng.randrange(1, 20))) for _ in range(3000)]
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    got = Encoder(public_tokenizers.path(name), joined, 50, special=True).encode(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    got = _encoded(Encoder(public_tokenizers.path(name), joined, 50, special=True), texts)
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_queries_take_literal_special_tokens(spark, tmp_path):
