@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, filled, first_filled, strip
+from .text import blank_to_null, filled, first_filled, has_text, strip
 
 #: Field names of sources and the standard names they stand for.
 ALIASES = {
@@ -61,7 +61,7 @@ def authors_valid(authors: Column) -> Column:
 
 def present(column: Column, of_list: bool = False) -> Column:
     """Present and not blank."""
-    return F.coalesce(F.size(column) > 0, F.lit(False)) if of_list else filled(strip(column))
+    return F.coalesce(F.size(column) > 0, F.lit(False)) if of_list else has_text(column)
 
 
 def required_present() -> Column:

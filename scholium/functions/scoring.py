@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import filled, first_filled, matching_terms, strip
+from .text import filled, first_filled, has_text, matching_terms
 
 
 @dataclass(frozen=True)
@@ -47,9 +47,14 @@ def blob() -> Column:
     return F.lower(F.concat_ws(" ", *parts))
 
 
+def with_abstract(papers: DataFrame) -> DataFrame:
+    """Where a paper has no abstract, that of a column ``abstracttext`` if there is one."""
+    return papers.withColumn("abstract", first_filled(F.col("abstract"), F.col("abstracttext"))) if "abstracttext" in papers.columns else papers
+
+
 def with_terms(papers: DataFrame, profile: Profile = AIR_QUALITY) -> DataFrame:
     """Adds location_list, pollutant_list and health_list; the blob is made once."""
-    rows = papers.withColumn("_blob", blob())
+    rows = with_abstract(papers).withColumn("_blob", blob())
     lists = {f"{k}_list": matching_terms(F.col("_blob"), getattr(profile, k)) for k in ("location", "pollutant", "health")}
     return rows.withColumns(lists).drop("_blob")
 
@@ -66,8 +71,7 @@ def score(profile: Profile = AIR_QUALITY) -> Column:
     points = points + F.when(some("location_list"), 2).otherwise(-3)
     for rule, worth in ((some("pollutant_list"), 2), (some("health_list"), 1), (xml, 1), (pdf, 1), (filled(F.col("doi")) & filled(F.col("journal")), 1)):
         points = points + F.when(rule, worth).otherwise(0)
-    blank = ~filled(strip(first_filled(F.col("abstract"), default="")))
-    return (points + F.when(blank & ~xml & ~pdf, -2).otherwise(0)).cast("int")
+    return (points + F.when(~xml & ~pdf & ~has_text(F.col("abstract")), -2).otherwise(0)).cast("int")
 
 
 def scored(papers: DataFrame, profile: Profile = AIR_QUALITY) -> DataFrame:

@@ -13,6 +13,11 @@ def strip(column: Column) -> Column:
     return F.regexp_replace(column, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
+def has_text(column: Column) -> Column:
+    """True where a string holds anything but white space, which the first such character shows."""
+    return F.coalesce(column.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+
+
 def filled(column: Column) -> Column:
     """True where a string is neither null nor empty."""
     return F.coalesce(column != "", F.lit(False))

@@ -1,13 +1,16 @@
 """A corpus as versioned Parquet tables: add, get, list, search, statistics.
 
-Every write makes a new version directory and then moves a pointer to it, so a
-reader never sees half a version and no path is overwritten while it is read.
+Every write makes a new version directory and then a pointer to it with the next
+number; the highest number is the version in use. A pointer appears by one rename and none is
+ever replaced, so a reader never sees half a version nor none, a crash leaves the version
+before, and of two writers that started from the same version the later one is refused.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..errors import CorpusError
 from ..functions.text import contains_any_case
 from ..schema import PAPERS
 
+POINTER = "CURRENT-"
+
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "paper_id") -> DataFrame:
     """Rows of ``new``, and those of ``existing`` whose key is not among them."""
@@ -22,7 +27,9 @@ def upsert(existing: DataFrame, new: DataFrame, key: str = "paper_id") -> DataFr
 
 
 def search(papers: DataFrame, query: str, field: str = "title") -> DataFrame:
-    """Papers whose field contains the query in any case; lists are searched as joined text."""
+    """Papers whose field contains the query in any case; lists are searched as joined text. No paper has an unknown field."""
+    if field not in papers.columns:
+        return papers.where(F.lit(False))
     column = F.array_join(field, ", ") if papers.schema[field].dataType.typeName() == "array" else F.col(field)
     return papers.where(contains_any_case(column, query))
 
@@ -61,7 +68,7 @@ def unique(rows: DataFrame, key: str = "paper_id") -> DataFrame:
 
 
 class Corpus:
-    """A directory of versions; ``CURRENT`` names the one in use."""
+    """A directory of versions; the ``CURRENT-`` file of the highest number names the one in use."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -72,33 +79,45 @@ class Corpus:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _version(self) -> str | None:
-        pointer = self._at("CURRENT")
-        return self.spark.read.text(str(pointer)).first()[0] if self._fs.exists(pointer) else None
+    def _number(self) -> int:
+        """The number of the pointer in use, 0 if there is none."""
+        names = [f.getPath().getName() for f in self._fs.globStatus(self._at(f"{POINTER}*")) or []]
+        return max((int(n.removeprefix(POINTER)) for n in names), default=0)
 
-    def papers(self) -> DataFrame:
-        version = self._version()
-        if version is None:
+    def _read(self, number: int) -> DataFrame:
+        if not number:
             return self.spark.createDataFrame([], PAPERS)
+        version = self.spark.read.text(str(self._at(f"{POINTER}{number:012d}"))).first()[0]
         return self.spark.read.schema(PAPERS).parquet(f"{self.path}/{version}")
 
-    def write(self, papers: DataFrame) -> None:
-        """Make ``papers`` the current version."""
-        version = f"v-{uuid.uuid4().hex}"
-        papers.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in papers.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PAPERS)).write.parquet(f"{self.path}/{version}")
-        pointer = self._at(f"CURRENT.{version}")
-        stream = self._fs.create(pointer, True)
+    def papers(self) -> DataFrame:
+        return self._read(self._number())
+
+    def _point(self, version: str, number: int) -> None:
+        """Make ``version`` the one of a number that no version has."""
+        fresh = self._at(f".{version}")
+        stream = self._fs.create(fresh, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        old = self._at("CURRENT")
-        if self._fs.exists(old):
-            self._fs.delete(old, False)
-        if not self._fs.rename(pointer, old):
-            raise CorpusError(f"the version of {self.path} could not be switched")
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(self._at(f"{POINTER}{number:012d}")), options)
+        except Py4JJavaError as e:
+            self._fs.delete(fresh, False)
+            raise CorpusError(f"{self.path} was written by another since this write began") from e
+
+    def write(self, papers: DataFrame, base: int | None = None) -> None:
+        """Make ``papers`` the current version; refused if that is no longer number ``base``, by default the one of now."""
+        base = self._number() if base is None else base
+        version = f"v-{uuid.uuid4().hex}"
+        papers.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in papers.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PAPERS)).write.parquet(f"{self.path}/{version}")
+        self._point(version, base + 1)
 
     def add(self, new: DataFrame) -> None:
         """Insert or overwrite by paper_id; within a batch one row of an id stays."""
-        self.write(upsert(self.papers(), unique(new)))
+        base = self._number()
+        self.write(upsert(self._read(base), unique(new)), base)
 
     def list(self) -> DataFrame:
         return self.papers().select("paper_id")

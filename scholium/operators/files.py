@@ -128,9 +128,13 @@ def fixity(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, ["path", "alg"], "full").select("path", "alg", state.alias("state")).where(F.col("state").isNotNull())
 
 
+DOCUMENTS = "data/documents"
+
+
 class Bag:
     """A payload directory with manifests; opening one that exists changes nothing."""
 
+    #: The folders of the format.
     FOLDERS = ["data/documents/pdf", "data/documents/xml", "data/documents/html", "data/semantic", "data/metadata", "data/keyphrases", "data/indices", "relations", "analysis", "provenance"]
 
     def __init__(self, spark: SparkSession, path: str):
@@ -186,5 +190,9 @@ class Bag:
         with open(f"{self.path}/bag-info.txt", encoding="utf-8") as lines:
             return dict(x.rstrip("\n").split(": ", 1) for x in lines if ": " in x)
 
+    def full_texts(self) -> DataFrame:
+        """(paper_id, kind, length) of the documents in the payload."""
+        return paper_files(listing(self.spark, f"{self.path}/{DOCUMENTS}", "*.*")).select("paper_id", "kind", "length")
+
     def report(self) -> dict:
         return {"date": date.today().isoformat(), "path": self.path, "is_valid": self.valid(), "bag_info": self.info()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.metadata import flat_authors, paper_id, split_authors
 from ..functions.text import blank_to_null, first_filled
 from ..schema import PAPERS
 from .corpus import Corpus
+from .files import DOCUMENTS, Bag
 
 RECORD = "title string, abstractText string, doi string, pmcid string, pmid string, authorString string, firstPublicationDate string, dateOfCreation string, pubYear string, journalInfo struct<journal: struct<title: string>>"
 RECORD_FILE = "eupmc_result.json"
@@ -52,10 +54,29 @@ def folders(spark: SparkSession, directory: str) -> DataFrame:
     return parsed.select(F.when(broken, F.raise_error(F.concat(F.lit("broken record in "), "folder"))).otherwise(F.col("folder")).alias("folder"), "record.*")
 
 
-def ingest_folders(spark: SparkSession, directory: str, corpus: Corpus, prefix: str = "europe_pmc_") -> list[str]:
-    """Add every folder's paper to the corpus; their ids. A broken record fails the whole ingest before it writes."""
+def copy_full_texts(directory: str, bag: Bag, prefix: str = "europe_pmc_") -> int:
+    """Copy fulltext.xml and fulltext.pdf of every record folder to the bag's documents and hash the payload anew; how many."""
+    count = 0
+    for name in sorted(os.listdir(directory)):
+        if not name.startswith("PMC") or not os.path.isfile(os.path.join(directory, name, RECORD_FILE)):
+            continue
+        for kind in ("xml", "pdf"):
+            origin = os.path.join(directory, name, f"fulltext.{kind}")
+            if os.path.isfile(origin):
+                target = f"{bag.path}/{DOCUMENTS}/{kind}/{prefix}{name}.{kind}"
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                shutil.copy2(origin, target)
+                count += 1
+    bag.update()
+    return count
+
+
+def ingest_folders(spark: SparkSession, directory: str, corpus: Corpus, prefix: str = "europe_pmc_", bag: Bag | None = None) -> list[str]:
+    """Add every folder's paper to the corpus, and its full texts to a bag; their ids. A broken record fails the whole ingest before it writes."""
     papers = from_record(folders(spark, directory), prefix, "folder")
     corpus.add(papers)
+    if bag is not None and os.path.isdir(directory):
+        copy_full_texts(directory, bag, prefix)
     return sorted(r.paper_id for r in papers.select("paper_id").toLocalIterator())
 
 

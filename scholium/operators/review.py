@@ -68,6 +68,11 @@ def high(table: DataFrame, least: int = HIGH_SCORE, with_xml: bool = False) -> D
     return out.where("has_xml") if with_xml else out
 
 
+def to_pandas(table: DataFrame):
+    """The table, best papers first, as a pandas frame on the driver: for tables that people review."""
+    return ranked(table).toPandas()
+
+
 def with_term(table: DataFrame, pattern: str) -> DataFrame:
     """Rows whose title or snippet matches a pattern in any case."""
     return table.where(F.coalesce(F.col("title").rlike(f"(?i){pattern}"), F.lit(False)) | F.coalesce(F.col("abstract_snippet").rlike(f"(?i){pattern}"), F.lit(False)))

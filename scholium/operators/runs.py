@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import CorpusError
 from ..functions.text import first_filled
 from ..schema import QUERY_RUNS
+from ..shared import remove, written
 
 
 def record(query_name: str, query_string: str, repository: str, limit: int, formats: list[str], output_dir: str, result_count: int, downloaded_count: int = 0, notes: str = "", revision_of: str | None = None) -> dict:
@@ -90,14 +91,21 @@ def compare(prior: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def revisions(runs: DataFrame) -> DataFrame:
-    """(query_name, root, depth): each run's first ancestor by revision_of, and the steps to it."""
-    spark = runs.sparkSession
-    view = "query_runs_of_chain"
-    runs.select("query_name", "revision_of").createOrReplaceTempView(view)
-    return spark.sql(
-        f"""with recursive chain(query_name, root, depth) as (
-            select query_name, query_name, 0 from {view} where revision_of is null
-            union all
-            select r.query_name, c.root, c.depth + 1 from {view} r join chain c on r.revision_of = c.query_name)
-        select query_name, root, depth from chain"""
-    )
+    """(query_name, root, depth) of each name: the first ancestor by revision_of, and the steps to it.
+
+    A run that revises an unknown one is a root; runs in a circle, and those that lead to one, have no
+    root and no depth. Every round doubles the steps taken, so chains of any length end in few.
+    """
+    named = runs.groupBy("query_name").agg(F.min("revision_of").alias("parent"))
+    known = named.select(F.col("query_name").alias("parent")).withColumn("known", F.lit(True))
+    first = named.join(known, "parent", "left")
+    root = F.col("known").isNull()
+    state, path = written(first.select("query_name", F.when(root, F.col("query_name")).otherwise(F.col("parent")).alias("at"), F.when(root, 0).otherwise(1).cast("long").alias("depth")), "run-chain")
+    spark, roots = runs.sparkSession, first.where(root).select(F.col("query_name").alias("at")).withColumn("ended", F.lit(True))
+    for _ in range(max(1, state.count()).bit_length()):
+        further = state.select(F.col("query_name").alias("at"), F.col("at").alias("beyond"), F.col("depth").alias("more"))
+        following, next_path = written(state.join(further, "at").select("query_name", F.col("beyond").alias("at"), (F.col("depth") + F.col("more")).alias("depth")), "run-chain")
+        remove(spark, path)
+        state, path = following, next_path
+    out = state.join(roots, "at", "left")
+    return out.select("query_name", F.when(F.col("ended"), F.col("at")).alias("root"), F.when(F.col("ended"), F.col("depth").cast("int")).alias("depth"))

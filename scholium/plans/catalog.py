@@ -69,11 +69,10 @@ def corpus_stats(spark, d):
     return corpus.statistics(V.papers(spark, d), rows).select("total_papers", "corpus_size_mb")
 
 
-@query("select paper_id, title, journal from papers where doc_id % 2 = 0 and doc_id % 3 <> 0 union all select paper_id, upper(category), 'new' from papers where doc_id % 3 = 0")
+@query("select paper_id, title, journal from papers where paper_id not in (select paper_id from decisions) union all select paper_id, status, 'new' from decisions")
 def corpus_upsert(spark, d):
-    papers = V.papers(spark, d)
-    old = papers.where("doc_id % 2 = 0").select("paper_id", "title", "journal")
-    return corpus.upsert(old, papers.where("doc_id % 3 = 0").select("paper_id", F.upper("category").alias("title"), F.lit("new").alias("journal")))
+    new = V.decisions(spark, d).select("paper_id", F.col("status").alias("title"), F.lit("new").alias("journal"))
+    return corpus.upsert(V.papers(spark, d).select("paper_id", "title", "journal"), new)
 
 
 @query("select o_orderkey, o_totalprice from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate <= timestamp '1995-06-30'")
@@ -190,7 +189,7 @@ def relevance_score(spark, d):
 
 @query("select * from review")
 def review_table(spark, d):
-    return review.ranked(review.validated(_review(spark, d)))
+    return review.validated(_review(spark, d))
 
 
 @query("select paper_id, score, title from review order by score desc, paper_id limit 15")
@@ -277,9 +276,9 @@ def export_manifest(spark, d):
     return _exported(spark, d).agg(F.lit(export.VERSION).alias("export_version"), F.count("*").alias("paper_count"), F.count_if(F.col("xml_path") != "").alias("with_xml"), ids.alias("ids_md5"))
 
 
-@query("select paper_id from decisions where status = 'include' and paper_id not in (select paper_id from papers where doc_id % 2 = 0)")
+@query("select paper_id from decisions where status = 'include' and paper_id not in (select paper_id from files)")
 def export_missing_assert(spark, d):
-    return export.missing(V.papers(spark, d).where("doc_id % 2 = 0"), V.decisions(spark, d).select("paper_id", F.col("status").alias("review_status")))
+    return export.missing(V.files(spark, d).select("paper_id"), V.decisions(spark, d).select("paper_id", F.col("status").alias("review_status")))
 
 
 _KEYS = "coalesce(nullif(pmcid, ''), nullif(pmid, ''), nullif(paper_id, ''))"
