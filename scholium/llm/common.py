@@ -2,67 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import CHECKPOINT_DIR, cleanup, new_path, remove, shared_dir, written
+
+__all__ = ["CHECKPOINT_DIR", "ascii_lower", "cleanup", "fresh", "new_path", "remove", "shared_dir", "table", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and set.
-    """
-    path = spark.conf.get(CHECKPOINT_DIR, None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="scholium-")
-        spark.conf.set(CHECKPOINT_DIR, path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-_made: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete every table that this process has written to the shared folder: for when no result is read any more."""
-    while _made:
-        remove(spark, _made.pop())
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
-    """``df`` as a table of the shared folder, and its path: lineage ends there,
-    so a lost executor costs a read, not a recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder, through the session's own file systems."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def ascii_lower(column):
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER)

@@ -6,12 +6,14 @@ leftmost and non-overlapping for each kind, with their validity checks.
 The sanitiser then protects each such value as an entity. What a term tells of
 an entity c is their pointwise mutual information, and c is as good as stated when
 that comes near its information content IC(c) = log2(N / n(c)). Over the lines
-of the corpus PMI(c; t) / IC(c) is the disclosure of c by t: terms at
-``REMOVE`` or more are removed, those at ``GENERALISE`` or more replaced by a
-general placeholder. Every entity and every word beside one is rated, however
+of the corpus PMI(c; t) / IC(c) is the disclosure of c by t: a term of ``REMOVE`` or
+more is removed, one of ``GENERALISE`` or more replaced by a general placeholder,
+throughout every document that holds an entity which the term discloses. Documents without
+that entity have nothing that the term could give away, and are left alone.
+Every entity and every word beside one is rated, however
 seldom they are seen, and the same line of different documents counts in each
-of them (lines repeated within a row count once). What chance explains tells
-nothing: if words fell on lines at random, a pair would meet so often with a
+of them (lines repeated within a row count once). Words within entities do not count. What
+chance explains tells nothing: if words fell on lines at random, a pair would meet so often with a
 probability of at most exp(-n_c KL(n_ct / n_c, n_t / N)) (Hoeffding), and that
 must not be above ``CHANCE``. So a contact line copied into a few documents
 counts, and a pair met once does in corpora of 1 / CHANCE lines or more, but in
@@ -22,11 +24,11 @@ All of it is DataFrame expressions: spans come from the parts between matches
 The patterns are possessive, and start only where no earlier start could have
 matched, so a long text costs time in proportion to its length.
 
-Scale: only lines with an entity are exploded; all counts are partly aggregated
-before their shuffle, so a line that a third of all documents share is one row of each task. Corpus
-counts of terms are taken for candidate terms, which are broadcast while they
-are at most ``BROADCAST`` and else joined to the counts of all words. The documents
-of each disclosing term are found by a join of their words, under the same check.
+Scale: the rows with an entity are written once, and only their lines and words are exploded; all
+counts are partly aggregated before their shuffle, so a line that a third of all documents share is
+one row of each task. Corpus counts of terms are taken for candidate terms, which are broadcast while they
+are at most ``BROADCAST`` and else joined to the counts of all words. The terms
+of each document are found by joining its words to the disclosing pairs, under the same check, and its entities to those.
 
 Defined results: a null text counts as empty; rows with a null doc_id are
 reported like others; repeated rows give a row each; an empty table gives none.
@@ -120,21 +122,35 @@ def _lines(body: Column) -> Column:
     return F.array_distinct(F.split(body, "\n"))
 
 
-def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entities, terms) of every line that has entities: these, and the different words beside them."""
-    body = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
-    held = with_spans(body, "body", "spans").where(F.size("spans") > 0)
+def _entities(spans: Column) -> Column:
+    """The different entities of spans, as kind:value."""
+    return F.array_distinct(F.transform(spans, lambda s: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1), F.lit(":"), s["found"])))
+
+
+def _words(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def holders(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(h_key, body, entities) of the rows that have entities, as a written table."""
+    body = docs.select(F.col(f"`{key}`").alias("h_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    return written(with_spans(body, "body", "spans").where(F.size("spans") > 0).select("h_key", "body", _entities(F.col("spans")).alias("entities")), "pii-holders")[0]
+
+
+def contexts(held: DataFrame) -> DataFrame:
+    """(entities, terms, inside) of every line that has entities: these, the different words beside them, and those found within them only."""
     lines = held.select(F.explode(_lines(F.col("body"))).alias("line"))
     found = with_spans(lines, "line", "spans").where(F.size("spans") > 0)
-    entities = F.array_distinct(F.transform("spans", lambda s: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1), F.lit(":"), s["found"])))
     rest = F.aggregate("spans", F.col("line"), lambda acc, s: F.replace(acc, s["found"], F.lit(" ")))
-    return found.select(entities.alias("entities"), F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0))).alias("terms"))
+    found = found.select(_entities(F.col("spans")).alias("entities"), _words(rest).alias("terms"), _words(F.col("line")).alias("every"))
+    return found.select("entities", "terms", F.array_except("every", "terms").alias("inside"))
 
 
 def line_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term): the different words of each line of the corpus."""
     lines = docs.select(F.explode(_lines(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("line"))
-    return lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))).alias("term"))
+    return lines.select(F.explode(_words(F.col("line"))).alias("term"))
 
 
 def _few(terms: DataFrame) -> DataFrame | None:
@@ -142,20 +158,22 @@ def _few(terms: DataFrame) -> DataFrame | None:
     return F.broadcast(terms) if terms.count() <= BROADCAST else None
 
 
-def disclosing(docs: DataFrame, text: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
-    """(term, disclosure, removed): the terms that tell too much of some entity."""
-    found, _ = written(contexts(docs, text), "pii-contexts")
+def disclosing(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, chance: float = CHANCE, held: DataFrame | None = None) -> DataFrame:
+    """(entity, term, disclosure, removed): the terms that tell too much of an entity."""
+    found, _ = written(contexts(holders(docs, key, text) if held is None else held), "pii-contexts")
     single = found.select(F.explode("entities").alias("entity"), "terms")
     entities = single.groupBy("entity").agg(F.count("*").alias("n_c"))
     pairs = single.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    pairs, _ = written(pairs.join(entities, "entity").select("term", "n_c", "n_ct").distinct(), "pii-pairs")
+    pairs, _ = written(pairs.join(entities, "entity"), "pii-pairs")
     if pairs.isEmpty():
-        return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit(False).alias("removed"))
+        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"), F.lit(False).alias("removed"))
     candidates, _ = written(pairs.select("term").distinct(), "pii-candidates")
     seen = line_words(docs, text)
     few = _few(candidates)
-    counted = (seen.join(few, "term") if few is not None else seen).groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = (seen.join(few, "term") if few is not None else seen).groupBy("term").agg(F.count("*").alias("n_seen"))
     counted = counted if few is not None else counted.join(candidates, "term")
+    within = found.select(F.explode("inside").alias("term")).groupBy("term").agg(F.count("*").alias("n_within"))
+    counted = counted.join(within, "term", "left").select("term", (F.col("n_seen") - F.coalesce("n_within", F.lit(0))).alias("n_t"))
     size = docs.agg(F.sum(F.size(_lines(F.coalesce(F.col(f"`{text}`"), F.lit(""))))).cast("double").alias("n"))
     rated = pairs.join(counted, "term").crossJoin(F.broadcast(size))
     content = F.log2(F.col("n") / F.col("n_c"))
@@ -163,9 +181,8 @@ def disclosing(docs: DataFrame, text: str = "text", remove: float = REMOVE, gene
     apart, absent = F.col("n_c") - F.col("n_ct"), 1 - F.col("n_t") / F.col("n")
     evidence = F.col("n_ct") * information * math.log(2) + F.when(apart > 0, apart * F.ln(apart / F.col("n_c") / absent)).otherwise(0.0)
     rated = rated.where((information > 0) & (evidence >= -math.log(chance)))
-    rated = rated.select("term", F.when(content > 0, information / content).otherwise(0.0).alias("disclosure"))
-    rated = rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return written(rated.select("term", "disclosure", (F.col("disclosure") >= remove).alias("removed")), "pii-terms")[0]
+    rated = rated.select("entity", "term", F.when(content > 0, information / content).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return written(rated.withColumn("removed", F.col("disclosure") >= remove), "pii-terms")[0]
 
 
 def _term_spans(rows: DataFrame, text: str, terms: str, out: str, rank: int) -> DataFrame:
@@ -178,16 +195,19 @@ def _term_spans(rows: DataFrame, text: str, terms: str, out: str, rank: int) ->
     return rows.select(*kept, _spans(F.col(parts), F.col(matches), TERM, rank).alias(out))
 
 
-def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with columns of base spans, term spans and removed terms; see ``names``."""
     base, more, gone, body, every, d_key = names(docs)
-    terms = disclosing(docs, text) if terms is None else terms
+    held = holders(docs, key, text)
+    told = disclosing(docs, key, text, held=held)
     rows = with_spans(docs.withColumn(body, F.coalesce(F.col(f"`{text}`"), F.lit(""))), body, base)
-    if terms.isEmpty():
+    if told.isEmpty():
         return rows.withColumns({more: F.array().cast(_SPAN), gone: F.array().cast("array<string>")})
-    words = docs.select(F.col(f"`{key}`").alias(d_key), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
-    few = _few(terms)
-    own = words.join(terms if few is None else few, "term").groupBy(d_key).agg(F.sort_array(F.collect_set("term")).alias(every), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("term")))).alias(gone))
+    few = _few(told)
+    words = held.select("h_key", F.explode(_words(F.col("body"))).alias("term")).join(told if few is None else few, "term")
+    there = held.select(F.col("h_key").alias("e_key"), F.explode("entities").alias("e_entity")).distinct()
+    own = words.join(there, F.col("h_key").eqNullSafe(F.col("e_key")) & (F.col("entity") == F.col("e_entity")), "left_semi")
+    own = own.groupBy(F.col("h_key").alias(d_key)).agg(F.sort_array(F.collect_set("term")).alias(every), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("term")))).alias(gone))
     own, _ = written(own, "pii-own")
     rows = rows.join(own.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col(d_key)), "left").drop(d_key)
     return _term_spans(rows, body, every, more, len(KINDS)).drop(every)
