@@ -3,7 +3,47 @@
 _LONG = "The survey found that most farms along the river had changed their crops within ten years, and that water prices mattered more than the weather did."
 _NEXT = "Nobody expected the figures to move so quickly. Two of the three stations were rebuilt in spring, while the last one still sends its readings by post."
 
-PAGES = [
+_SHORT = ["It was cold.", "Few came", "Silence.", "So much for that"]
+_ITEMS = ["Home.", "All the news", "Ten things that the council did not say last week.", "About this site", "Why the old harbour of the town will never be the same", "Letters."]
+_LINES = ["Today.", "Page 3 of 9", "Printed at noon.", "Last change in May"]
+
+
+def _unnamed(texts: list[tuple[str, int]], tag: str) -> str:
+    """A page of plain blocks, none of them named: (text, 1 for main text) each."""
+    return "<body>" + "".join(f'<{tag} data-main="{label}">{text}</{tag}>' for text, label in texts) + "</body>"
+
+
+def _menu(names: list[str]) -> list[tuple[str, int]]:
+    return [(f'<a href="/{i}">{name}</a>', 0) for i, name in enumerate(names)]
+
+
+def _around(article: list[tuple[str, int]], k: int) -> list[tuple[str, int]]:
+    """An article between two menus with a line among the first's items and one after the second's."""
+    menu, line = _menu(_ITEMS), _LINES[k % 4]
+    return [*menu[:2], (line, 0), *menu[2:], *article, *menu[k % 3 :], (_LINES[(k + 1) % 4], 0)]
+
+
+#: Pages without a name or a telling tag. Short lines are main text between long ones, and not among menus or at an end;
+#: linked lines are main text within an article, and not among other links. Full stops tell nothing here.
+_UNNAMED = [_unnamed(_around([(_LONG, 1), (_SHORT[k % 4], 1), (_NEXT, 1), (_SHORT[(k + 1) % 4], 1), (_LONG, 1)], k), tag) for tag in ("div", "p") for k in range(4)] + [
+    _unnamed(_around([(_NEXT, 1), ('<a href="/more">See the whole survey and its tables</a>', 1), (_LONG, 1)], k), tag) for tag in ("div", "p") for k in range(2)
+]
+
+#: Linked headlines beside an article, in named surroundings.
+_RELATED = [
+    f'<body><article data-main="1"><h1>Tides</h1><p>{_LONG}</p><p>{_NEXT}</p></article><{tag}><h3>More</h3><p><a href="/1">{_ITEMS[2]}</a></p><p><a href="/2">{_ITEMS[4]}</a></p><p><a href="/3">{_ITEMS[1]}</a></p></{tag.split()[0]}></body>'
+    for tag in ("aside", 'div class="related"', "nav")
+]
+
+#: Within an article that is named or tagged as one everything is main text, whatever stands beside it.
+_TAGGED = [
+    "<body>" + "".join(f"<p>{t}</p>" for t, _ in _menu(_ITEMS)) + f'<{tag} data-main="1">' + "".join(f"<{inner}>{t}</{inner}>" for t in texts) + f"</{tag.split()[0]}>" + "".join(f"<p>{t}</p>" for t, _ in _menu(_ITEMS[k:])) + "</body>"
+    for k, tag in enumerate(("article", "main", 'div class="content"', "article"))
+    for inner in ("p", "div")
+    for texts in ([_SHORT[k], f'<a href="/x">{_ITEMS[k]}</a>', _SHORT[1], _LONG, _SHORT[2]], ["x", _SHORT[k], f'<a href="/y">{_ITEMS[2]}</a>'], [_NEXT, _SHORT[k]])
+]
+
+PAGES = _UNNAMED + _RELATED + _TAGGED + [
     f'<html><head><title>River farms</title></head><body><header><a href="/">Daily</a> <a href="/n">News</a></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">World</a></li><li><a href="/c">Sport</a></li></ul></nav><article data-main="1"><h1>River farms</h1><p>{_LONG}</p><p>Prices rose.</p><p>{_NEXT}</p></article><footer>&copy; Daily &middot; All rights kept by the owner.</footer></body></html>',
     f'<body><nav><a href="/1">Start</a> <a href="/2">Shop</a></nav><div class="ad">Buy two lamps and get the third one free this week.</div><article data-main="1"><h1>Lamps of the north</h1><p>{_NEXT}<p>It was late.<p>{_LONG}</article><div class="ad">Win a trip. Enter today and tell a friend about it.</div><footer>Contact us by letter.</footer></body>',
     f'<body><div id="menu"><ul><li><a href="#">One</a><li><a href="#">Two</a></ul></div><div id="content"><div data-main="1"><h2>Bread</h2><p>{_LONG}</p><ul><li>Mix the flour with water and salt.</li><li>Wait for an hour.</li></ul><p>{_NEXT}</p></div></div><div id="sidebar"><h3>Related</h3><p>Ten more loaves that you will like to bake at home.</p></div></body>',

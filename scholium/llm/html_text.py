@@ -4,7 +4,9 @@ A page becomes a flat list of text blocks, cut where block-level tags open or
 close. Each block has its number of words and the share of them in links, the
 same of the blocks before and after it, and what its surroundings are called. A
 decision tree, grown from the small labelled pages of ``html_samples``, tells
-main text from menus, notices, adverts, forms, footers and reader comments.
+main text from menus, notices, adverts, forms, footers and reader comments. Names settle
+what surroundings are called after; where nothing is named, words and links of the block and
+of its neighbours decide, such as a short line between long ones against one between menus.
 
 Classes of html and body, and classes for a state or layout, name nothing; main starts
 afresh within named surroundings, and so does article, but for those of comments,
@@ -16,7 +18,7 @@ and memory in proportion to the page itself.
 
 Defined results: a null or empty html, and one without main text, give an
 empty text of 0 characters; unclosed or stray tags close with their container, an
-unclosed head at the first thing that cannot stand in one, and an unclosed select,
+unclosed head at the first thing that cannot stand in one; a CDATA section that is closed is text, any other a comment, and an unclosed select,
 button, object or the like holds nothing; the text of formulas stays;
 rows with a null or repeated page_id give a row each; an empty table gives none.
 """
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .html_samples import PAGES
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*>?|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*>?|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _CALLED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=>/])|display\s*:\s*none", re.I)
@@ -85,7 +87,8 @@ def _called(tag: str) -> tuple[int, int]:
     for found in _CALLED.findall(tag):
         for name in "".join(found).lower().split():
             words = set(_WORDS.findall(name))
-            main |= bool(words & MAIN_WORDS)
+            if words & MAIN_WORDS:
+                main, words = 1, words - {"header"}  # an article's header holds its title
             if words & SIDE_WORDS and not words & STATE_WORDS:
                 side = max(side, 2 if words & HOLDERS else 1)
     return int(main and not side), side
@@ -135,6 +138,7 @@ def blocks(page: str) -> list[Block]:
             del stack[depth:]
 
     at, end = 0, len(page)
+    sections = page.rfind("]]>")
     while at < end:
         m = _TOKEN.match(page, at)
         token, at = m[0], m.end()
@@ -147,8 +151,10 @@ def blocks(page: str) -> list[Block]:
             continue
         named = _NAME.match(token)
         if not named:
-            if token.startswith("<![CDATA["):
-                pieces.append((token[9:-3], link))
+            if page.startswith("<![CDATA[", m.start()) and m.start() < sections:
+                at = page.index("]]>", m.start()) + 3
+                if not skip:
+                    pieces.append((page[m.start() + 9 : at - 3].replace("&", "&amp;"), link))
             continue
         name = named[1].lower()
         closing = token[1] == "/"

@@ -85,3 +85,48 @@ def test_left_out_ends():
         assert html_text.main_text(f"<body><div><{name}>x<p>{TEXT}</p></{name}>{ARTICLE}</div>", TREE) == WANTED, name
     assert html_text.main_text("<body>" + ARTICLE.replace("Shut.", "So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> it is."), TREE).endswith("\n\nSo x=2 it is.")
     assert html_text.main_text("<body>" + "<button>" * 20_000 + ARTICLE, TREE) == WANTED
+
+
+def used(tree):
+    return set() if isinstance(tree, float) else {html_text.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def unnamed(rng):
+    """A held-out page of unnamed blocks, longer and shorter than the samples': (page, main text)."""
+    say = lambda least, most: " ".join(["".join(rng.choice(list("abcdefghi"), 5)) for _ in range(rng.integers(least, most))]).capitalize() + "."
+    menu = lambda: [(f'<a href="/x">{say(1, 4)}</a>', 0) for _ in range(rng.integers(3, 7))]
+    body = [(say(25, 90), 1)]
+    for _ in range(rng.integers(2, 6)):
+        body += [(say(2, 6), 1)] * int(rng.integers(0, 2)) + [(say(25, 90), 1)]
+    tag = "div" if rng.integers(2) else "p"
+    blocks = [*menu(), *body, *menu(), (say(1, 4), 0)]
+    return "<body>" + "".join(f'<{tag} data-main="{y}">{t}</{tag}>' for t, y in blocks) + "</body>"
+
+
+def test_neighbours_tell_unnamed_blocks():
+    """The tree splits on neighbours, and without them it tells fewer blocks of unnamed pages rightly."""
+    neighbours = {"before_words", "before_links", "after_words", "after_links"}
+    assert used(TREE) & neighbours
+    rows = [html_text.blocks(p) for p in html_samples.PAGES]
+    x, y = np.concatenate([html_text.features(r) for r in rows]), np.array([b.label == 1 for r in rows for b in r], float)
+    blind = [i for i, f in enumerate(html_text.FEATURES) if f in neighbours]
+    without = html_text.grow(np.where(np.isin(np.arange(x.shape[1]), blind), 0.0, x), y)
+    right, alone, total = 0, 0, 0
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        found = html_text.blocks(unnamed(rng))
+        for b, row in zip(found, html_text.features(found).tolist()):
+            total += 1
+            right += (html_text.decide(TREE, row) >= 0.5) == (b.label == 1)
+            alone += (html_text.decide(without, row) >= 0.5) == (b.label == 1)
+    assert right / total > 0.97 and right > alone
+
+
+def test_article_headers_and_sections():
+    page = ARTICLE.replace("<h1>Mill</h1>", "<div class='article-header'><h1>Mill</h1></div>")
+    assert html_text.main_text(f"<body>{page}<div class='site-header'><p>{TEXT}</p></div>", TREE) == WANTED
+    cut = ARTICLE.replace("Shut.", "Shut <![CDATA[x < 1 & <b>]]> now.")
+    assert html_text.main_text(cut, TREE).endswith("Shut x < 1 & <b> now.")
+    assert html_text.main_text(ARTICLE.replace("Shut.", "Shut <![CDATA[never> closed."), TREE).endswith("Shut closed.")
+    assert "secret" not in html_text.main_text(f"<body><select><![CDATA[secret]]></select>{ARTICLE}", TREE)
+    assert html_text.main_text("<body>" + "<![CDATA[" * 50_000 + ">" + ARTICLE, TREE) == WANTED
