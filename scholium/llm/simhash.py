@@ -4,24 +4,28 @@ A fingerprint is cut into segments of ``SEGMENT`` bits, and each segment is
 replaced by its number of set bits. The Manhattan distance of two such vectors
 is a lower bound of the fingerprints' Hamming distance, so links at ``BITS``
 or fewer differing bits are found among vectors at Manhattan distance BITS or
-less. The segments form ``GROUPS`` groups; with three groups and four bits, some group
-of a linked pair is at Manhattan distance one or zero. Each group's counts are
-a cell of a grid: a fingerprint is entered in its own cell of each group and
-probes the cells that are one higher in one segment, so every such pair meets
-in a cell. Candidates are verified there by their exact Hamming distance.
-
-Copies share a fingerprint and enter the grid once. A cell emits links that
+less. The segments form ``GROUPS`` groups, of which a linked pair differs in BITS at most, so
+it has the same counts throughout some GROUPS - BITS of them. Each such choice of groups
+is a grid, whose cells are the counts of its groups: a fingerprint is entered in one cell of
+each of the 70 grids, and every linked pair meets in a cell. Candidates are verified
+there by their exact Hamming distance. Two random fingerprints share a cell with a probability
+of 1 in 90,000.
+
+Copies share a fingerprint and enter the grids once. A cell emits links that
 join what is not yet joined in it, at most one less than it has members. A cell
 of more than ``TILE`` members is dealt anew in tiles of pairs of its blocks,
 so no task takes an unbounded group. Components come from the link table.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero,
 which links like any other; a row with a null doc_id gets its fingerprint but
-no component; repeated rows share a component; an empty table gives none.
+no component; repeated rows share a component; an empty table gives none. ``deduplicated``
+goes by rows: of each component the row of the smallest doc_id stays, any with one before those without.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +38,7 @@ WORDS = 4
 BITS = 4
 SEED = 42
 SEGMENT = 2
-GROUPS = 3
+GROUPS = 8
 TILE = 8192
 SMALL = 8
 CHUNK = 1 << 21
@@ -78,23 +82,17 @@ def embed(fps: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     return bits.reshape(len(fps), -1, segment).sum(axis=2, dtype=np.int64)
 
 
-def cells(fps: np.ndarray, segment: int = SEGMENT, groups: int = GROUPS):
-    """(row, cell, probe): the own cell in each group, and those one higher in one segment."""
+def cells(fps: np.ndarray, segment: int = SEGMENT, groups: int = GROUPS, bits: int = BITS) -> np.ndarray:
+    """The cell of each fingerprint in each grid, a row for each fingerprint."""
     counts = embed(fps, segment)
-    row, cell, probe = [], [], []
-    every = np.arange(len(fps))
-    for g, columns in enumerate(np.array_split(np.arange(counts.shape[1]), groups)):
-        weights = (segment + 1) ** np.arange(len(columns))
-        own = counts[:, columns] @ weights + (g << 40)
-        row.append(every)
-        cell.append(own)
-        probe.append(np.zeros(len(fps), dtype=np.int8))
-        for c, w in zip(columns, weights, strict=True):
-            some = np.flatnonzero(counts[:, c] < segment)
-            row.append(some)
-            cell.append(own[some] + w)
-            probe.append(np.ones(len(some), dtype=np.int8))
-    return np.concatenate(row), np.concatenate(cell), np.concatenate(probe)
+    parts = np.array_split(np.arange(counts.shape[1]), groups)
+    code = np.column_stack([counts[:, p] @ (segment + 1) ** np.arange(len(p)) for p in parts])
+    width = (segment + 1) ** max(map(len, parts))
+    chosen = np.array(list(combinations(range(groups), groups - bits)))
+    place = width ** np.arange(groups - bits)
+    if len(chosen) * int(place[-1]) * width > 1 << 62:
+        raise ValueError("these groups' cells need more than 62 bits")
+    return code[:, chosen] @ place + np.arange(len(chosen)) * (int(place[-1]) * width)
 
 
 class Joined:
@@ -125,43 +123,40 @@ def _block_links(fps: np.ndarray, rows: np.ndarray, own: np.ndarray, bits: int)
     return joined.links
 
 
-def _cell_links(cell: np.ndarray, probe: np.ndarray, fps: np.ndarray, reps: np.ndarray, bits: int):
-    """Links of rows sorted by cell and probe: pairs of small cells at once, larger cells by blocks."""
+def _cell_links(cell: np.ndarray, fps: np.ndarray, reps: np.ndarray, bits: int):
+    """Links of rows sorted by cell: pairs of small cells at once, larger cells by blocks."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
-    owns = np.add.reduceat(1 - probe.astype(np.int64), starts)
     a, b = [], []
-    small = (owns > 0) & (owns <= SMALL) & (sizes > 1)
+    small = (sizes <= SMALL) & (sizes > 1)
     if small.any():
-        s, z, o = starts[small], sizes[small], owns[small]
+        s, z = starts[small], sizes[small]
         rows = np.repeat(s, z) + (np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z))
-        stop = np.repeat(s + o, z)
-        first = np.where(probe[rows] == 0, rows + 1, np.repeat(s, z))
-        n = stop - first
+        n = np.repeat(s + z, z) - rows - 1
         edges = np.r_[0, np.cumsum(n)]
         begin = 0
         while begin < len(rows):
             end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + CHUNK, side="right")) - 1)
             m = n[begin:end]
             left = np.repeat(rows[begin:end], m)
-            right = np.repeat(first[begin:end], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+            right = left + 1 + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
             near = np.bitwise_count(fps[left] ^ fps[right]) <= bits
             a.append(reps[left[near]])
             b.append(reps[right[near]])
             begin = end
-    for s, z, o in zip(*(x[owns > SMALL].tolist() for x in (starts, sizes, owns)), strict=True):
-        for i, j in _block_links(fps[s : s + z], np.arange(z), np.arange(o), bits):
+    for s, z in zip(*(x[sizes > SMALL].tolist() for x in (starts, sizes)), strict=True):
+        for i, j in _block_links(fps[s : s + z], np.arange(z), np.arange(z), bits):
             a.append(reps[[s + i]])
             b.append(reps[[s + j]])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-FOUND = "a long, b long, cell long, probe byte, fp long, rep long, block int"
+FOUND = "a long, b long, cell long, fp long, rep long, block int"
 
 
-def _batch(a=(), b=(), cell=(), probe=(), fp=(), rep=(), block=()) -> pa.RecordBatch:
+def _batch(a=(), b=(), cell=(), fp=(), rep=(), block=()) -> pa.RecordBatch:
     n = max(len(a), len(cell))
-    cols = [(a, pa.int64()), (b, pa.int64()), (cell, pa.int64()), (probe, pa.int8()), (fp, pa.int64()), (rep, pa.int64()), (block, pa.int32())]
+    cols = [(a, pa.int64()), (b, pa.int64()), (cell, pa.int64()), (fp, pa.int64()), (rep, pa.int64()), (block, pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) if len(c) else pa.nulls(n, t) for c, t in cols], [x.split()[0] for x in FOUND.split(", ")])
 
 
@@ -177,10 +172,9 @@ def _grid(bits: int, tile: int):
         for batch in batches:
             now = _columns(batch)
             if hot is not None:
-                same = now[0] == hot
-                n = int(same.sum())
+                n = int((now[0] == hot).sum())
                 if n:
-                    yield _batch(cell=now[0][:n], probe=now[1][:n], fp=now[2][:n], rep=now[3][:n], block=((seen + np.arange(n)) // tile).astype(np.int32))
+                    yield _batch(cell=now[0][:n], fp=now[1][:n], rep=now[2][:n], block=((seen + np.arange(n)) // tile).astype(np.int32))
                     seen += n
                     now = [c[n:] for c in now]
                 if not len(now[0]):
@@ -188,34 +182,29 @@ def _grid(bits: int, tile: int):
                 hot = None
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             if cut:
-                a, b = _cell_links(now[0][:cut], now[1][:cut], now[2][:cut].view(np.uint64), now[3][:cut], bits)
+                a, b = _cell_links(now[0][:cut], now[1][:cut].view(np.uint64), now[2][:cut], bits)
                 yield _batch(a=a, b=b)
             held = [c[cut:] for c in now]
             if len(held[0]) > tile:
                 hot, seen = int(held[0][0]), len(held[0])
-                yield _batch(cell=held[0], probe=held[1], fp=held[2], rep=held[3], block=(np.arange(seen) // tile).astype(np.int32))
+                yield _batch(cell=held[0], fp=held[1], rep=held[2], block=(np.arange(seen) // tile).astype(np.int32))
                 held = None
         if held is not None and len(held[0]):
-            a, b = _cell_links(held[0], held[1], held[2].view(np.uint64), held[3], bits)
+            a, b = _cell_links(held[0], held[1].view(np.uint64), held[2], bits)
             yield _batch(a=a, b=b)
 
     return run
 
 
 def _tiles(bits: int):
-    """Links between the two blocks of each tile, rows sorted by tile and side."""
+    """Links between the two blocks of each tile, or within its one block, rows sorted by tile and side."""
 
     def links(rows):
-        fps, reps, side, probe = rows[1].view(np.uint64), rows[2], rows[3], rows[4]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero((side == 1) & (probe == 0))
-        if not len(right):
-            right = np.flatnonzero(probe == 0)
-        found = _block_links(fps, left, right, bits)
-        back = np.flatnonzero((side == 0) & (probe == 0))
-        if len(back) and (side == 1).any():
-            found += _block_links(fps, np.flatnonzero((side == 1) & (probe == 1)), back, bits)
+        fps, reps, side = rows[1].view(np.uint64), rows[2], rows[3]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = _block_links(fps, left, right if len(right) else left, bits)
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         i, j = (np.array(x) for x in zip(*found, strict=True))
@@ -241,18 +230,17 @@ def _tiles(bits: int):
 
 def linked(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     """Links (a, b) between representatives that connect every pair of ``distinct`` (fp, rep) at ``bits`` or fewer."""
-    if bits != BITS:
-        raise ValueError(f"the grid's three groups are made for {BITS} bits")
 
     def enter(batches):
         for batch in batches:
             fp, rep = _columns(batch)
             for at in range(0, len(fp), 4096):
-                row, cell, probe = cells(fp[at : at + 4096].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(probe), pa.array(fp[at + row]), pa.array(rep[at + row])], ["cell", "probe", "fp", "rep"])
+                own = cells(fp[at : at + 4096].view(np.uint64), bits=bits)
+                many = own.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(fp[at : at + 4096], many)), pa.array(np.repeat(rep[at : at + 4096], many))], ["cell", "fp", "rep"])
 
-    entered = distinct.select("fp", "rep").mapInArrow(enter, "cell long, probe byte, fp long, rep long")
-    dealt = entered.repartition(F.col("cell")).sortWithinPartitions("cell", "probe", "fp")
+    entered = distinct.select("fp", "rep").mapInArrow(enter, "cell long, fp long, rep long")
+    dealt = entered.repartition(F.col("cell")).sortWithinPartitions("cell", "fp")
     found, _ = written(dealt.mapInArrow(_grid(bits, tile), FOUND), "simhash-found")
     links = found.where("a is not null").select("a", "b")
     hot = found.where("cell is not null")
@@ -261,10 +249,10 @@ def linked(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame
     most = hot.groupBy("cell").agg((F.max("block") + 1).alias("blocks"))
     members = hot.join(most, "cell")
     others = F.expr("sequence(0, blocks - 1)")
-    tiles = members.select("fp", "rep", "probe", "cell", "block", F.explode(others).alias("other")).select(
-        F.struct("cell", F.least("block", "other"), F.greatest("block", "other")).alias("t"), "fp", "rep", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).cast("byte").alias("side"), "probe"
+    tiles = members.select("fp", "rep", "cell", "block", F.explode(others).alias("other")).select(
+        F.struct("cell", F.least("block", "other"), F.greatest("block", "other")).alias("t"), "fp", "rep", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).cast("byte").alias("side")
     )
-    tiles = tiles.select(F.xxhash64("t").alias("tile"), "fp", "rep", "side", "probe").repartition(F.col("tile")).sortWithinPartitions("tile", "side", "probe")
+    tiles = tiles.select(F.xxhash64("t").alias("tile"), "fp", "rep", "side").repartition(F.col("tile")).sortWithinPartitions("tile", "side")
     return links.unionByName(tiles.mapInArrow(_tiles(bits), "a long, b long"))
 
 
@@ -279,10 +267,15 @@ def resolve(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows without doc_id stay."""
-    name = fresh(docs, "drop")[0]
-    gone, _ = written(resolve(docs, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias(name)), "simhash-gone")
-    return docs.join(gone.hint("merge"), F.col(f"`{key}`") == F.col(name), "left_anti")
+    """The rows of ``docs`` that stay, with its columns: one of each component, that of the smallest doc_id."""
+    row, drop = fresh(docs, "row", "drop")
+    rows, _ = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    found = resolve(rows, row, text).select(F.col("doc_id").alias("n"), "component_id")
+    member = found.join(rows.select(F.col(row).alias("n"), F.col(f"`{key}`").alias("id")), "n")
+    member, _ = written(member.select("component_id", F.struct(F.col("id").isNull().alias("none"), "id", "n").alias("rank")), "simhash-members")
+    best = member.groupBy("component_id").agg(F.min("rank").alias("best"), F.count("*").alias("many")).where("many > 1").select("component_id", "best")
+    gone, _ = written(member.join(best, "component_id").where("rank.n <> best.n").select(F.col("rank.n").alias(drop)), "simhash-gone")
+    return rows.join(gone.hint("merge"), F.col(row) == F.col(drop), "left_anti").drop(row)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

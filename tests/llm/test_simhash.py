@@ -68,11 +68,20 @@ def test_grid_meets_every_close_pair():
         b = a
         for bit in rng.sample(range(64), 4):
             b ^= 1 << bit
-        row, cell, probe = simhash.cells(np.array([a, b], dtype=np.uint64))
-        own = [{(c, r) for r, c, p in zip(row, cell, probe) if p == 0}, {(c, r) for r, c, p in zip(row, cell, probe)}]
-        mine = [{c for c, r in own[0] if r == k} for k in (0, 1)]
-        entered = [{c for c, r in own[1] if r == k} for k in (0, 1)]
-        assert mine[0] & entered[1] or mine[1] & entered[0]
+        own = simhash.cells(np.array([a, b], dtype=np.uint64))
+        assert own.shape == (2, 70) and (own[0] == own[1]).any()
+        assert len(set(own[0].tolist())) == 70  # no two grids share a cell
+
+
+def test_dedup_goes_by_rows(spark):
+    """Rows that share a doc_id, or have none, are judged by their own texts."""
+    words = [f"w{i}" for i in range(300)]
+    near = " ".join([*words[:150], "changed", *words[151:]])
+    clean = " ".join(f"v{i}" for i in range(300))
+    assert (plain_fingerprint(near) ^ plain_fingerprint(" ".join(words))).bit_count() <= 4
+    rows = [(1, " ".join(words)), (5, near), (5, clean), (None, near), (None, clean + " end of it all"), (None, "alone here"), (None, "alone here")]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, " ".join(words)), (5, clean), (None, "alone here")] + ([(None, rows[4][1])] if (plain_fingerprint(clean) ^ plain_fingerprint(rows[4][1])).bit_count() > 4 else []), key=str)
 
 
 def test_edge_rows(spark):
