@@ -1,3 +1,5 @@
+import pytest
+import math
 import random
 
 import numpy as np
@@ -64,3 +66,43 @@ def test_query_on_labelled_rows(spark):
     got = {r.doc_id: r.toxic for r in toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").collect()}
     truth = [(r.doc_id, r.toxic) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()]
     assert np.mean([got[d] == (t == 1) for d, t in truth if d in got]) > 0.98
+
+
+def _loss(weights, thresholds, rows, penalty):
+    """Penalised negative log likelihood of cumulative links, row by row."""
+    total = 0.0
+    for grade, found, _ in rows:
+        z = sum(weights[f] * math.log2(1 + n) for f, n in found.items())
+        above = [1.0, *(1 / (1 + math.exp(-(z - t))) for t in thresholds), 0.0]
+        total -= math.log(max(above[grade] - above[grade + 1], 1e-12))
+    return total + penalty / 2 * sum(w * w for w in weights.values())
+
+
+def test_fit_is_the_likelihoods_maximum():
+    """No step in any single weight or threshold lowers the loss that plain arithmetic gives; a plain search does no better."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        n = rng.integers(0, 4, 3)
+        z = 1.2 * math.log2(1 + n[0]) - 0.8 * math.log2(1 + n[1]) + rng.logistic()
+        rows.append((int((z > 0.5) + (z > 2.0)), {f: int(k) for f, k in zip("abc", n) if k}, 0))
+    marks = dict.fromkeys("abc", 1.0)
+    model = toxicity.fit(rows, marks)
+    weights, thresholds = dict(model.weights), model.thresholds.tolist()
+    assert set(weights) == {"a", "b", "c"} and thresholds == sorted(thresholds) and len(thresholds) == 2
+    best = _loss(weights, thresholds, rows, toxicity.PENALTY)
+    point = [weights[f] for f in "abc"] + thresholds
+    at = lambda p: _loss(dict(zip("abc", p[:3])), p[3:], rows, toxicity.PENALTY)
+    for i in range(5):
+        for step in (0.05, -0.05):
+            assert at([x + step * (j == i) for j, x in enumerate(point)]) > best - 1e-6
+    search, step = [0.0, 0.0, 0.0, 0.5, 1.5], 0.5
+    while step > 1e-4:
+        moved = min(([x + d * (j == i) for j, x in enumerate(search)] for i in range(5) for d in (step, -step)), key=at)
+        if at(moved) < at(search):
+            search = moved
+        else:
+            step /= 2
+    assert abs(at(search) - best) < 0.02
+    above = model.above(np.array([0.3]))[0]
+    assert above.tolist() == pytest.approx([1 / (1 + math.exp(t - 0.3)) for t in thresholds]) and above[0] > above[1]

@@ -59,3 +59,47 @@ def test_query_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     got = vector_graph.op10_vector_graph(spark, "/root/testdata/sf0.1").collect()
     assert compared(got, plain(rows)) >= 0.9
+
+
+def test_recall_and_visits_of_larger_shards(spark):
+    """At production parameters a query finds 0.9 of the nearest and looks at a small share of the shard; so it does over several shards."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32))
+    x = (centres[rng.integers(0, 40, 16_000)] + 0.7 * rng.normal(size=(16_000, 32))).astype(np.float32)
+    graph = vector_graph.Graph(x).build()
+    assert (graph.links < len(x)).all() and ((graph.links >= 0).sum(axis=1) >= 1).all()
+    looked, plainly = [0], graph._from
+    graph._from = lambda q, ids: looked.__setitem__(0, looked[0] + ids.size) or plainly(q, ids)
+    asked = x[::100]
+    found, _ = graph.search(asked, vector_graph.BEAM)
+    hits = 0
+    for i, (q, row) in enumerate(zip(asked, found)):
+        d = ((x - q) ** 2).sum(axis=1)
+        d[i * 100] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & set([r for r in row.tolist() if r not in (-1, i * 100)][:10]))
+    assert hits / (10 * len(asked)) >= 0.9
+    assert looked[0] / len(asked) / len(x) < 0.25
+    rows = [(i, v.tolist()) for i, v in enumerate(x[:6000])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, np.asarray(v, np.float32).astype(float).tolist()) for i, v in rows]
+    assert compared(vector_graph.search_all(frame, frame.where("vec_id % 100 = 0"), shard=700).collect(), plain(rows)) >= 0.9
+
+
+def test_shards_grow_with_the_table():
+    assert vector_graph.shard_size(1000, 64) == vector_graph.SHARD
+    assert vector_graph.shard_size(10**7, 64) == int(vector_graph.GROWTH * 10**3.5)
+    assert vector_graph.shard_size(10**12, 64) * (12 * 64 + 4 * vector_graph.DEGREE) <= vector_graph.MOST
+    assert 1 <= vector_graph.shard_size(10**9, 10**6) < 100
+
+
+def test_no_link_back_is_left_out():
+    """A node that a whole batch points to is offered every one of them, however many."""
+    x = np.r_[np.zeros((1, 2)), 1 + np.random.default_rng(1).random((500, 2))].astype(np.float32)
+    graph = vector_graph.Graph(x, 8)
+    graph.links[1:, 0] = 0
+    seen = []
+    pruned = graph.pruned
+    graph.pruned = lambda nodes, candidates, alpha: seen.append(candidates.copy()) or pruned(nodes, candidates, alpha)
+    graph._back(np.arange(1, 501), 1.2)
+    offered = {int(c) for some in seen for c in some.ravel() if c >= 0} | set(graph.links[0].tolist())  # where there is room a link is entered without pruning
+    assert offered - {-1} == set(range(1, 501))
