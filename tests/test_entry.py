@@ -1,12 +1,14 @@
 """Every query over the smallest tables against its SQL."""
 
 import glob
+import hashlib
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from scholium.plans import views
 
 DIR = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -42,3 +44,17 @@ def test_entry(spark):
 def test_corpus_filter_is_pushed(spark):
     plan = QUERIES["corpus_list"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+def test_sha512_of_pages(spark, duck):
+    want = {i: hashlib.sha512(h.encode()).hexdigest() for i, h in duck.sql("select page_id, html from pages").fetchall()}
+    assert {r.page_id: r.digest for r in QUERIES["manifest_sha512"](spark, DIR).collect()} == want
+
+
+def test_xml_metadata_is_the_papers(spark):
+    papers = {f"{r.paper_id}.xml": r for r in views.papers(spark, DIR).collect()}
+    found = QUERIES["xml_metadata"](spark, DIR).collect()
+    assert len(found) == len(papers) > 0
+    for r in found:
+        p = papers[r.path]
+        assert (r.title, r.doi, r.authors, r.error) == (p.title, p.doi, "|".join(p.authors), None)
