@@ -12,8 +12,9 @@ rows fall into ``GRADES`` - 1 equal parts. With a label column of several
 grades those are used as they are.
 
 The model is fit on at most ``SAMPLE`` labelled rows, those with the smallest
-hash of their id. Their words are counted on the executors, and the driver gets
-at most ``FEATURES`` marking features and their counts in the sample; every document is scored on its whole text, in Arrow batches.
+hash of their id. Their words are counted on the executors, and the driver gets every
+feature that marks (a z score of ``Z`` or more) and the sample's counts of those, kept sparse: what it
+holds grows with the sample's words and not with the tables. Every document is scored on its whole text, in Arrow batches.
 
 Defined results: a null or empty text has no features and the grade of the
 thresholds alone; null labels and labels without a document are not used; of
@@ -36,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SAMPLE = 6000
-FEATURES = 600
 GRADES = 4
 RARE = 3
 Z = 3.5
@@ -75,8 +75,8 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return written(rows.select("label", "text").mapInArrow(run, "label int, words array<string>, counts array<int>"), "toxicity-sample")[0]
 
 
-def marking(rows: DataFrame, rare: int = RARE, z: float = Z, most: int = FEATURES) -> dict[str, float]:
-    """Features that tell rows of grade 1 or more from others, with the z score of their log odds: at most ``most``."""
+def marking(rows: DataFrame, rare: int = RARE, z: float = Z) -> dict[str, float]:
+    """All features that tell rows of grade 1 or more from others, with the z score of their log odds."""
 
     def run(batches):
         for batch in batches:
@@ -90,8 +90,7 @@ def marking(rows: DataFrame, rare: int = RARE, z: float = Z, most: int = FEATURE
     counts = rows.select("label", "words").mapInArrow(run, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= rare)
     a, b, not_a, not_b = F.col("a") + 0.5, F.col("b") + 0.5, total.clean - F.col("a") + 0.5, total.toxic - F.col("b") + 0.5
     score = (F.log(b / not_b) - F.log(a / not_a)) / F.sqrt(1 / a + 1 / b + 1 / not_a + 1 / not_b)
-    top = counts.select("feature", score.alias("z")).where(F.abs("z") >= z).orderBy(F.abs("z").desc(), "feature").limit(most)
-    return {r.feature: r.z for r in top.collect()}
+    return {r.feature: r.z for r in counts.select("feature", score.alias("z")).where(F.abs("z") >= z).collect()}
 
 
 def marked(rows: DataFrame, marks: dict[str, float]) -> list[Row]:
@@ -159,15 +158,16 @@ def fit(rows: list[Row], marks: dict[str, float], grades: int = GRADES, penalty:
     y = np.searchsorted(kinds, y)
     k, names = len(kinds) - 1, sorted(marks)
     at = {w: i for i, w in enumerate(names)}
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, (_, found, _) in enumerate(rows):
-        for w, n in found.items():
-            if w in at:
-                x[i, at[w]] = math.log2(1 + n)
+    cells = sorted((at[w], i, math.log2(1 + n)) for i, (_, found, _) in enumerate(rows) for w, n in found.items() if w in at)
+    col, row = (np.array([c[k] for c in cells], np.int64) for k in (0, 1))
+    value = np.array([c[2] for c in cells], float)
+    edges = np.searchsorted(col, np.arange(len(names) + 1))
+    column = lambda j: (row[edges[j] : edges[j + 1]].tobytes(), value[edges[j] : edges[j + 1]].tobytes())
     # of features with the same values throughout the sample the most specific stands for all
-    last = {x[:, i].tobytes(): i for i in sorted(range(len(names)), key=lambda i: (len(names[i]), names[i][-1:] != "*"))}
-    kept = sorted(last.values())
-    x, names = np.ascontiguousarray(x[:, kept]), [names[i] for i in kept]
+    last = {column(j): j for j in sorted(range(len(names)), key=lambda j: (len(names[j]), names[j][-1:] != "*"))}
+    kept = np.array(sorted(last.values()), np.int64)
+    mine = np.isin(col, kept)
+    col, row, value, names = np.searchsorted(kept, col[mine]), row[mine], value[mine], [names[j] for j in kept]
     share = np.array([(y >= j).mean() for j in range(1, k + 1)])
     start = -np.log(share / (1 - share))
     p = np.concatenate([np.zeros(len(names)), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
@@ -175,14 +175,14 @@ def fit(rows: list[Row], marks: dict[str, float], grades: int = GRADES, penalty:
     for step in range(1, steps + 1):
         w, gaps = p[: len(names)], np.exp(p[len(names) + 1 :])
         t = np.concatenate([p[len(names) : len(names) + 1], p[len(names)] + np.cumsum(gaps)])
-        z = x @ w.astype(np.float32)
+        z = np.bincount(row, value * w[col], len(y))
         s = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -50, 50)))
         full = np.hstack([np.ones((len(y), 1)), s, np.zeros((len(y), 1))])
         i = np.arange(len(y))
         hi, lo = full[i, y], full[i, y + 1]
         prob = np.maximum(hi - lo, 1e-9)
         d_hi, d_lo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
-        g_w = -(x.T @ (d_hi - d_lo).astype(np.float32)) / len(y) + penalty / len(y) * w
+        g_w = -np.bincount(col, value * (d_hi - d_lo)[row], len(names)) / len(y) + penalty / len(y) * w
         g_t = np.zeros(k)
         np.add.at(g_t, y[y > 0] - 1, d_hi[y > 0] / len(y))
         np.add.at(g_t, y[y < k], -d_lo[y < k] / len(y))

@@ -62,6 +62,27 @@ def test_operator_and_edges(spark):
     assert toxicity.scored(frame.limit(0), toxicity.trained(frame.limit(0), labels)).count() == 0
 
 
+def test_no_marking_feature_is_left_out(spark):
+    """Toxic rows that hold a third of many marking words each are told by as many features as mark them."""
+    rng = random.Random(6)
+    bad = ["".join(rng.choices("bcdfghjkl", k=3) + rng.choices("mnpqrstvw", k=4)) for _ in range(900)]
+
+    def row(i, toxic):
+        clean = [f"word{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}" for _ in range(30)]
+        return i, " ".join(clean + (rng.sample(bad, 300) if toxic else [])), int(toxic)
+
+    docs = [row(i, i % 2) for i in range(600)]
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(d[0], d[2]) for d in docs], "doc_id long, toxic int")
+    rows = toxicity.sample(frame, labels)
+    marks = toxicity.marking(rows)
+    assert set(bad) <= set(marks)
+    model = toxicity.fit(toxicity.marked(rows, marks), marks)
+    assert len(model.weights) > 900
+    held = [row(i, i % 2) for i in range(200)]
+    assert [model.latent(toxicity.words(t)) > model.thresholds[0] for _, t, _ in held] == [t == 1 for *_, t in held]
+
+
 def test_query_on_labelled_rows(spark):
     got = {r.doc_id: r.toxic for r in toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").collect()}
     truth = [(r.doc_id, r.toxic) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()]
