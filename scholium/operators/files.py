@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import MetadataError
 from ..functions.text import filled
 
-EXTRACTED = "path string, file_type string, file_size long, title string, abstract string, doi string, authors array<string>, json string, error string"
+EXTRACTED = "path string, file_type string, file_size long, title string, abstract string, doi string, authors array<string>, creator string, json string, error string"
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -49,8 +49,23 @@ def xml_fields(xml: str, jats: bool = False) -> dict:
     return out
 
 
+def pdf_fields(content: bytes) -> dict:
+    """What a PDF states of title, author and creator, where PyMuPDF is installed; nothing where it is not or the file is broken."""
+    try:
+        import fitz
+    except ImportError:
+        return {}
+    try:
+        with fitz.open(stream=content, filetype="pdf") as pdf:
+            stated = pdf.metadata or {}
+    except Exception:  # the library's errors for broken files have no common type
+        return {}
+    author = stated.get("author")
+    return {"title": stated.get("title") or None, "authors": [author] if author else None, "creator": stated.get("creator") or None}
+
+
 def extract(files: DataFrame, jats: bool = False) -> DataFrame:
-    """Metadata of XML, PDF and JSON files given as binaryFile rows; what can't be read has an error instead."""
+    """Metadata of XML, PDF and JSON files given as binaryFile rows; what can't be read has an error instead, and a PDF its path, type and size alone."""
 
     def run(batches):
         import json
@@ -67,7 +82,9 @@ def extract(files: DataFrame, jats: bool = False) -> DataFrame:
                         row |= xml_fields(bytes(content).decode("utf-8").lstrip(), jats)
                     elif kind == "json":
                         row["json"] = json.dumps(json.loads(bytes(content)), ensure_ascii=False)
-                    elif kind != "pdf":
+                    elif kind == "pdf":
+                        row |= pdf_fields(bytes(content))
+                    else:
                         row["error"] = f"unsupported file type: {kind}"
                 except (ET.ParseError, UnicodeDecodeError, ValueError) as e:
                     row["error"] = f"{type(e).__name__}: {e}"

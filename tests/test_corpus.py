@@ -1,6 +1,8 @@
 import hashlib
 import json
 import os
+import sys
+import types
 
 import pytest
 
@@ -166,3 +168,25 @@ def test_config_on_either_side(tmp_path):
     config.write_text("query: from_file\nlimit: 7\n")
     for argv in (["--config", str(config), "search"], ["search", "--config", str(config)]):
         assert cli.arguments(argv).query == "from_file" and cli.arguments([*argv, "--limit", "3"]).limit == 3
+
+
+def test_pdf_fields(monkeypatch):
+    """With a stand-in for the PDF library: stated fields, empty and absent ones, a broken file, no library."""
+    made = {b"full": {"title": "T", "author": "A, B", "creator": "C"}, b"empty": {"title": "", "author": None}, b"none": None}
+
+    class Pdf:
+        def __init__(self, metadata):
+            self.metadata = metadata
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: Pdf(made[stream])))
+    assert files.pdf_fields(b"full") == {"title": "T", "authors": ["A, B"], "creator": "C"}
+    assert files.pdf_fields(b"empty") == files.pdf_fields(b"none") == {"title": None, "authors": None, "creator": None}
+    assert files.pdf_fields(b"broken") == {}
+    monkeypatch.setitem(sys.modules, "fitz", None)
+    assert files.pdf_fields(b"full") == {}
