@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import CHECKPOINT_DIR, cleanup, new_path, remove, shared_dir, written
 
-__all__ = ["CHECKPOINT_DIR", "ascii_lower", "cleanup", "fresh", "new_path", "remove", "shared_dir", "table", "written"]
+__all__ = ["CHECKPOINT_DIR", "ascii_lower", "cleanup", "fresh", "new_path", "release", "remove", "shared_dir", "table", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -33,3 +35,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(candidate.lower())
         out.append(candidate)
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver's cleaner drop the shuffle files of steps whose results are written and whose frames are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
