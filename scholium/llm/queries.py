@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, packing, pii, segmentation, simhash, source_audit, substring_dedup, token_files, toxicity, vector_graph, warc
+from . import exact_dedup, hard_negatives, html_text, packing, pii, segmentation, simhash, source_audit, substring_dedup, token_files, toxicity, vector_graph, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_vector_graph": vector_graph.op10_vector_graph,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_source_audit": source_audit.op12_source_audit,
     "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
-ORACLE = {"op4_exact_dedup": exact_dedup.SQL, "op12_source_audit": source_audit.SQL}
+ORACLE = {"op4_exact_dedup": exact_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_source_audit": source_audit.SQL}
