@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver's cleaner drop the shuffle files of steps whose results are written and whose frames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver's cleaner drop the shuffle files of steps whose results are written and whose frames are gone.
+
+    Frames hold plans, and plans hold shuffles; what the first collection lets go of, the second finds."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)  # the cleaner works in the background

@@ -234,12 +234,14 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
             paths.append(path)
         repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         repeated, path = written(repeated, "repeat-found")
+        paths.append(path)
         release(spark)
         known = keys.join(repeated, "key").groupBy("rid").agg(F.collect_list("key").alias("known"))
         if level + 2 < len(lengths):
             known, again = written(known, "repeat-known")
     found = joined().mapInArrow(_judging(lengths), "part long, run long, id long, rid long, first int, windows array<long>")
     found, found_path = written(found, "repeat-runs")
+    keys = repeated = known = None
     for path in paths:
         remove(spark, path)
     release(spark)
