@@ -246,15 +246,17 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
         remove(spark, path)
     release(spark)
 
-    least = found.groupBy("part", "run").agg(F.min("id").alias("least"))
+    # tables of their own, so that the joins below can split a hot run
+    least, least_path = written(found.groupBy("part", "run").agg(F.min("id").alias("least")), "repeat-least")
     marked = found.join(least, ["part", "run"]).withColumn("whole", F.col("id") > F.col("least"))
     marked = marked.select("part", "id", "rid", "first", "whole", F.size("windows").alias("n"), F.when(~F.col("whole"), F.col("windows")).alias("windows"))
     marked, _ = written(marked, "repeat-marked")
-    remove(spark, found_path)
+    for path in (found_path, least_path):
+        remove(spark, path)
     release(spark)
 
     single = marked.where("not whole").select("part", "id", "rid", "first", F.posexplode("windows").alias("at", "hash"))
-    least = single.groupBy("part", "hash").agg(F.min("id").alias("least"))
+    least, _ = written(single.groupBy("part", "hash").agg(F.min("id").alias("least")), "repeat-least")
     single = single.join(least, ["part", "hash"]).where("id > least").select("id", "rid", (F.col("first") + F.col("at")).alias("first"), F.lit(1).alias("n"))
     return marked.where("whole").select("id", "rid", "first", "n").unionByName(single)
 
