@@ -11,6 +11,15 @@ from .registry import Source, register
 
 HITS = "arxiv_id string, title string, abstract string, authors array<struct<name: string>>, publication_date string, categories array<string>"
 _ATOM, _OWN = "{http://www.w3.org/2005/Atom}", "{http://arxiv.org/schemas/atom}"
+_COUNT = "{http://a9.com/-/spec/opensearch/1.1/}totalResults"
+
+
+def total(feed: bytes) -> int:
+    """How many hits the query has in all, as a feed says."""
+    try:
+        return int(ET.fromstring(feed).findtext(_COUNT) or 0)
+    except (ET.ParseError, ValueError) as e:
+        raise SourceError(f"arXiv: broken feed: {e}") from e
 
 
 def entries(feed: bytes) -> list[tuple]:

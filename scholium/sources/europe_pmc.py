@@ -20,6 +20,14 @@ def dated(query: str, start: str | None, end: str | None) -> str:
     return f"({query}) AND (FIRST_PDATE:[{start or '0001-01-01'} TO {end or '3000-12-31'}])"
 
 
+def pmcids(numbers: list[str], base_url: str | None = None, fetch=None) -> dict[str, str]:
+    """The PMC ids of PubMed ids, by one request; ids without one are left out."""
+    query = f"SRC:MED AND EXT_ID:({' OR '.join(numbers)})"
+    source = EuropePmc(None, fetch)
+    source.base_url = base_url or source.base_url
+    return {str(r["pmid"]): r["pmcid"] for r in source._results(query, len(numbers)) if r.get("pmid") and r.get("pmcid")}
+
+
 class EuropePmc(Source):
     name = "Europe PMC"
     base_url = "https://www.ebi.ac.uk/europepmc/webservices/rest"
