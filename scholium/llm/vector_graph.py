@@ -3,7 +3,7 @@
 Vectors are dealt to shards by a hash. A shard has ``SHARD`` vectors, or the
 square root of the table's rows times ``GROWTH`` if that is more, as far as ``MOST`` bytes
 hold: so the number of shards, each of which every query visits, grows with the root of
-the rows alone, for 64 dimensions up to some 70 million; beyond that it grows with the rows. Within a shard
+the rows alone, for 64 dimensions up to some 50 million; beyond that it grows with the rows. Within a shard
 equal vectors are one node with all their ids. Nodes enter the graph
 in batches that double, each of them searched for in what is already there:
 greedy searches from the medoid propose neighbours, and robust pruning keeps a
@@ -12,6 +12,10 @@ diverse; links back are pruned alike, all of them. A query searches every shard
 of ``BEAM``, and the shards' nearest are merged by their distance in double
 precision. A query looks at some 13 % of a shard of 25,000 vectors, and at less of larger ones.
 
+Distances are sums of squared differences in double precision, so vectors may be shifted,
+large or small at will. Where lengths spread over several powers of ten, a long vector's neighbours are
+short ones all as far, and recall falls: 0.93 over three powers, 0.90 over seven, 0.72 over 45.
+
 Searches and prunings run over a batch of nodes at once in numpy. Each shard is a task of its own,
 in building and in searching, and holds one block of queries at a time; a
 shard's graph is a row of a written table, so a lost executor costs the
@@ -40,6 +44,7 @@ MOST = 256 << 20
 DEGREE = 48
 BEAM = 56
 ALPHA = 1.2
+STARTS = 48
 BLOCK = 256
 TOP = 10
 EVERY = 100
@@ -50,27 +55,40 @@ class Graph:
     """Directed neighbour lists over different vectors; a list shorter than the degree is padded by -1."""
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE):
-        self.x = np.ascontiguousarray(vectors, np.float32)
-        self.norm = np.einsum("ij,ij->i", self.x, self.x)
+        x = np.ascontiguousarray(vectors, np.float64)
+        most = float(np.abs(x).max(initial=0))
+        #: A power of two that keeps squares of very large or very small components finite and above zero, else 1.
+        self.unit = 2.0 ** -np.frexp(most)[1] if most and not 1e-100 < most < 1e100 else 1.0
+        self.x = x if self.unit == 1 else x * self.unit
         self.links = np.full((len(vectors), degree), -1, np.int32)
-        self.start = int(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1).argmin()) if len(vectors) else 0
+        self.entered = np.zeros(len(vectors), bool)
+        #: The medoid, where building starts; searches also start from nodes at even steps of their distance from the centre.
+        out = np.argsort(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1), kind="stable") if len(vectors) else np.zeros(1, np.int64)
+        self.start = int(out[0])
+        self.starts = np.unique(out[np.linspace(0, len(out) - 1, min(STARTS, len(out))).astype(int)])
 
     def _from(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Squared distances of each query to its own row of ids."""
-        return self.norm[ids] + np.einsum("ij,ij->i", q, q)[:, None] - 2 * np.einsum("ijk,ik->ij", self.x[ids], q)
+        """Squared distances of each query to its own row of ids, by differences: sums of squares would lose what is small beside a shift or a long vector."""
+        apart = self.x[ids]
+        apart -= q[:, None, :]
+        return np.einsum("ijk,ijk->ij", apart, apart)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances) of the beam at each query's end, nearest first; ids are -1 past its end."""
         n = len(q)
         every = np.arange(n)
         ids = np.full((n, beam), -1, np.int64)
-        far = np.full((n, beam), np.inf, np.float32)
+        far = np.full((n, beam), np.inf)
         done = np.ones((n, beam), bool)
         seen = np.zeros((n, len(self.x) + 1), bool)  # a byte for each node and query of the block
         seen[:, -1] = True
-        ids[:, 0], done[:, 0] = self.start, False
-        far[:, 0] = self._from(q, ids[:, :1])[:, 0]
-        seen[:, self.start] = True
+        starts = self.starts[self.entered[self.starts]][:beam]
+        k = len(starts)
+        ids[:, :k], done[:, :k] = starts, False
+        far[:, :k] = self._from(q, ids[:, :k])
+        order = np.argsort(far, axis=1, kind="stable")
+        ids, far, done = (np.take_along_axis(m, order, 1) for m in (ids, far, done))
+        seen[:, starts] = True
         while len(active := np.flatnonzero(~done.all(axis=1))):
             at = (~done[active]).argmax(axis=1)
             done[active, at] = True
@@ -94,8 +112,9 @@ class Graph:
         order = np.argsort(d, axis=1, kind="stable")
         safe, d = np.take_along_axis(safe, order, 1), np.take_along_axis(d, order, 1)
         d[:, 1:][(safe[:, 1:] == safe[:, :-1])] = np.inf
-        x = self.x[safe]
-        between = self.norm[safe][:, :, None] + self.norm[safe][:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
+        x = self.x[safe] - self.x[nodes][:, None, :]  # as seen from the node
+        norm = np.einsum("ijk,ijk->ij", x, x)
+        between = norm[:, :, None] + norm[:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
         out = np.full((len(nodes), degree), -1, np.int32)
         row, alive = np.arange(len(nodes)), np.isfinite(d)
         for k in range(degree):
@@ -113,12 +132,14 @@ class Graph:
         n = len(self.x)
         order = np.random.default_rng(seed).permutation(n)
         order = np.r_[self.start, order[order != self.start]] if n else order
+        self.entered[order[:1]] = True
         at, step = 1, 1
         while at < n:
             nodes = order[at : at + step]
             found, _ = self.search(self.x[nodes], beam)
             self.links[nodes] = self.pruned(nodes, found, alpha)
             self._back(nodes, alpha)
+            self.entered[nodes] = True
             at += len(nodes)
             step = min(batch, at)
         return self
@@ -164,11 +185,11 @@ def shard_graph(ids: np.ndarray, vectors: np.ndarray) -> tuple:
 def nearest(shard: tuple, query_ids: np.ndarray, q: np.ndarray, top: int = TOP, beam: int = BEAM) -> list[tuple[int, int, float]]:
     """(query_id, vec_id, distance) of each query's nearest in the shard, itself left out."""
     graph, exact, edges, ids = shard
-    nodes, _ = graph.search(q.astype(np.float32), beam)
+    nodes, _ = graph.search(q * graph.unit, beam)
     out = []
     for query_id, vector, found in zip(query_ids.tolist(), q, nodes, strict=True):
         found = found[found >= 0]
-        d = np.sqrt(((exact[found] - vector) ** 2).sum(axis=1))
+        d = np.sqrt((((exact[found] - vector) * graph.unit) ** 2).sum(axis=1)) / graph.unit
         rows = [(float(far), int(i)) for far, node in zip(d, found.tolist(), strict=True) for i in ids[edges[node] : min(edges[node + 1], edges[node] + top + 1)] if i != query_id]
         out += [(query_id, i, far) for far, i in sorted(rows)[:top]]
     return out
@@ -183,8 +204,8 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
 
 
 def shard_size(rows: int, dim: int, most: int = MOST) -> int:
-    """The vectors of a shard for a table of so many rows; each takes its components as float and double, and its links."""
-    return max(1, min(max(SHARD, int(GROWTH * rows**0.5)), most // (12 * dim + 4 * DEGREE)))
+    """The vectors of a shard for a table of so many rows; each takes its components, at most twice as doubles, and its links."""
+    return max(1, min(max(SHARD, int(GROWTH * rows**0.5)), most // (16 * dim + 4 * DEGREE)))
 
 
 def search_all(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard: int | None = None, beam: int = BEAM, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -88,7 +88,7 @@ def test_recall_and_visits_of_larger_shards(spark):
 def test_shards_grow_with_the_table():
     assert vector_graph.shard_size(1000, 64) == vector_graph.SHARD
     assert vector_graph.shard_size(10**7, 64) == int(vector_graph.GROWTH * 10**3.5)
-    assert vector_graph.shard_size(10**12, 64) * (12 * 64 + 4 * vector_graph.DEGREE) <= vector_graph.MOST
+    assert vector_graph.shard_size(10**12, 64) * (16 * 64 + 4 * vector_graph.DEGREE) <= vector_graph.MOST
     assert 1 <= vector_graph.shard_size(10**9, 10**6) < 100
 
 
@@ -103,3 +103,17 @@ def test_no_link_back_is_left_out():
     graph._back(np.arange(1, 501), 1.2)
     offered = {int(c) for some in seen for c in some.ravel() if c >= 0} | set(graph.links[0].tolist())  # where there is room a link is entered without pruning
     assert offered - {-1} == set(range(1, 501))
+
+
+def test_recall_far_from_the_unit_ball(spark):
+    """Scaled, shifted and mixed magnitudes: whatever is finite is searched as it is."""
+    rng = np.random.default_rng(8)
+    plainly = rng.normal(size=(1500, 16))
+    mixed = plainly * 10.0 ** rng.integers(-1, 2, (1500, 1))
+    for name, x in {"shift": plainly + 1e4, "far": plainly * 0.001 + 1e6, "large": plainly * 1e20, "small": plainly * 1e-25, "mixed": mixed, "huge": plainly * 1e200, "tiny": plainly * 1e-200}.items():
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = vector_graph.search_all(frame, frame.where("vec_id % 20 = 0"), shard=800).collect()
+        unit = {"huge": 1e-200, "tiny": 1e200}.get(name, 1.0)
+        want = plain([(i, (v * unit).tolist()) for i, v in enumerate(x)], 20)
+        assert compared(got, want) >= 0.9, name
+        assert all(np.isfinite(r.score) and r.score > 0 for r in got), name
