@@ -13,6 +13,7 @@ from ..functions.metadata import citation
 
 #: Fixed values of the manifest's format.
 VERSION = "1.0"
+NAME = "chatbot_manifest.json"
 HINT = {"primary_text_source": "xml_path", "fallback_text_source": "abstract", "metadata_fields_for_retrieval": ["title", "abstract", "doi", "pmcid", "citation_label"]}
 RECORD = ["source_id", "citation_label", "title", "abstract", "doi", "pmcid", "pmid", "publication_date", "journal", "authors", "xml_path", "pdf_path", "metadata_path"]
 
@@ -49,7 +50,7 @@ def write(papers: DataFrame, corpus_dir: str, folder: str, review: DataFrame | N
     if review is not None and not (lost := missing(papers, review)).isEmpty():
         raise CorpusError(f"no paper {lost.first().paper_id}")
     os.makedirs(folder, exist_ok=True)
-    path, count = os.path.join(folder, "export_manifest.json"), 0
+    path, count = os.path.join(folder, NAME), 0
     with open(path, "w", encoding="utf-8") as out:
         out.write(f'{{"export_version": {json.dumps(VERSION)}, "corpus_dir": {json.dumps(corpus_dir)}, "papers": [')
         for row in records(included(papers, review, ids), corpus_dir).toLocalIterator():

@@ -121,13 +121,19 @@ def _empty(spark: SparkSession, root: str) -> list[str]:
     return out
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as the readers of a session spell it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def manifest(spark: SparkSession, bag: str, algorithms: tuple[str, ...] = ("sha256", "sha512")) -> DataFrame:
     """(path, alg, digest, length) of every payload file; each file is read once."""
     root = f"{bag.rstrip('/')}/data"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
     empty = [(p, 0, bytearray()) for p in _empty(spark, root)]
     files = files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else files
-    path = F.regexp_replace("path", f"^.*?{os.path.basename(bag.rstrip('/'))}/data/", "data/")
+    path = F.concat(F.lit("data"), F.substr(F.col("path"), F.lit(len(_qualified(spark, root)) + 1)))
     digests = F.array(*(F.struct(F.lit(a).alias("alg"), digest(F.col("content"), a).alias("digest")) for a in algorithms))
     return files.select(path.alias("path"), "length", F.explode(digests).alias("d")).select("path", "d.alg", "d.digest", "length")
 

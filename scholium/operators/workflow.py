@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import CorpusError, CorpusLibraryError
+from ..errors import CorpusError
+from ..shared import written
 from ..sources.registry import Source, source
 from . import export, files, ingest, review, runs
 from .corpus import Corpus
@@ -30,8 +31,8 @@ def search_and_download(origin: Source, query: str, limit: int, folder: str, for
         try:
             if origin.download(paper, folder, formats)["success"]:
                 done.append(paper)
-        except (CorpusLibraryError, OSError) as e:
-            failed[paper] = str(e)
+        except Exception as e:  # whatever a source answers, the other hits go on
+            failed[paper] = str(e) or type(e).__name__
     return hits, done, failed
 
 
@@ -52,13 +53,15 @@ def _line(run: dict) -> str:
 
 def _downloaded(spark: SparkSession, folder: str) -> DataFrame:
     """(paper_id, kind, length) of full texts in a folder, by the ids that hits get."""
-    return files.paper_files(files.listing(spark, folder, recursive=False)).select(F.concat(F.lit("europe_pmc_"), "paper_id").alias("paper_id"), "kind", "length")
+    stem = F.regexp_replace("paper_id", r"\.tar$", "")  # sources come as .tar.gz
+    return files.paper_files(files.listing(spark, folder, recursive=False)).select(F.concat(F.lit("europe_pmc_"), stem).alias("paper_id"), "kind", "length")
 
 
 def run_query_and_review(spark: SparkSession, query_name: str, query_string: str, folder: str, repository: str = REPOSITORY, limit: int = LIMIT, formats=FORMATS, notes: str = "", revision_of: str | None = None, fetch=None) -> dict:
     """Search, download, record the run and export the review table under ``folder``; counts, paths and the table."""
     run, results, saved = _harvest(spark, query_name, query_string, folder, repository, limit, formats, fetch, notes, revision_of)
-    table = review.rows(review.with_files(ingest.search_results(spark, results), _downloaded(spark, folder), sized=False), query_name, query_string)
+    found = ingest.search_results(spark, results, arxiv_ids=True).withColumn("paper_id", F.replace("paper_id", F.lit("/"), F.lit("_")))
+    table, _ = written(review.rows(review.with_files(found, _downloaded(spark, folder), sized=False), query_name, query_string), "review")
     paths = review.export(table, os.path.join(folder, "review"))
     counts = review.summary(table).first().asDict()
     about = {k: run[k] for k in ("query_name", "query_string", "result_count", "downloaded_count", "output_dir")}

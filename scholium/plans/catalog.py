@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import sources  # noqa: F401
 from ..functions import metadata as M
 from ..functions import text as X
-from ..operators import corpus, export, files, keywords, review, runs
-from ..sources import registry
+from ..operators import corpus, export, files, keywords, lexicon, review, runs
+from ..operators.search_index import SearchIndex
+from ..shared import new_path
 from ..streaming import windows
 from . import views as V
 
@@ -75,6 +75,25 @@ def corpus_upsert(spark, d):
     return corpus.upsert(V.papers(spark, d).select("paper_id", "title", "journal"), new)
 
 
+@query("select paper_id, title, journal from papers where paper_id not in (select paper_id from decisions) union all select paper_id, status, 'new' from decisions")
+def corpus_add(spark, d):
+    """All papers added to a new corpus, and then the decided ones again with other titles."""
+    made = corpus.Corpus(spark, new_path(spark, "corpus"))
+    made.add(V.papers(spark, d).select("paper_id", "title", "journal"))
+    made.add(V.decisions(spark, d).select("paper_id", F.col("status").alias("title"), F.lit("new").alias("journal")))
+    return made.papers().select("paper_id", "title", "journal")
+
+
+@query("select 'event_' || event_id as paper_id, json_extract_string(props, '$.k') as k, event_type from events where contains(json_extract_string(props, '$.k'), '7')")
+def open_metadata_search(spark, d):
+    """Events as papers whose every key is open metadata, found again by a path in it."""
+    made = corpus.Corpus(spark, new_path(spark, "corpus"))
+    events = V.table(spark, d, "events").select(F.concat(F.lit("event_"), F.col("event_id").cast("string")).alias("paper_id"), "event_type", F.parse_json("props").alias("props"))
+    made.add(events)
+    found = corpus.search(made.papers(), "7", "props.k")
+    return found.select("paper_id", corpus.open_text("props.k").alias("k"), corpus.open_text("event_type").alias("event_type"))
+
+
 @query("select o_orderkey, o_totalprice from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate <= timestamp '1995-06-30'")
 def date_range_search(spark, d):
     return corpus.by_date(V.table(spark, d, "orders"), "1995-01-01", "1995-06-30", "o_orderdate").select("o_orderkey", "o_totalprice")
@@ -182,6 +201,21 @@ def lexicon_match(spark, d):
     return rows.select("paper_id", *(F.array_join(f"{k}_list", ", ").alias(f"{k}_terms") for k in ("location", "pollutant", "health")))
 
 
+@query("""select paper_id, count(term) as n, min(term) as first from papers left join (select distinct lower(left(title, 9)) as term from papers where title <> '') on contains(lower(abstract), term) group by paper_id""")
+def lexicon_large(spark, d):
+    """How each title begins as a lexicon: as many terms as there are papers, nearly."""
+    papers = V.papers(spark, d)
+    terms = papers.where("title <> ''").select(F.lower(F.substring("title", 1, 9)).alias("term"))
+    found = lexicon.matches(papers.select("paper_id", F.lower("abstract").alias("text")), terms)
+    return found.select("paper_id", F.size("terms").cast("long").alias("n"), F.get("terms", F.lit(0)).alias("first"))
+
+
+@query("select paper_id from papers where contains(lower(abstract), 'thing wo')")
+def corpus_search_indexed(spark, d):
+    index = SearchIndex(spark, new_path(spark, "search-index")).build(V.papers(spark, d))
+    return index.search("Thing wo")
+
+
 @query("select paper_id, score from scored")
 def relevance_score(spark, d):
     return review.scored(review.with_files(V.papers(spark, d), V.files(spark, d)), V.PROFILE).select("paper_id", "score")
@@ -242,11 +276,16 @@ def payload_oxum(spark, d):
     return files.payload_oxum(V.table(spark, d, "pages").select(F.col("page_id").alias("path"), F.octet_length("html").cast("long").alias("length")))
 
 
-@query("select 'data/' || page_id as path, 'sha256' as alg, case when page_id % 7 = 0 then 'missing' when page_id % 11 = 0 then 'extra' else 'changed' end as state from pages where page_id % 7 = 0 and page_id % 11 <> 0 or page_id % 11 = 0 and page_id % 7 <> 0 or page_id % 7 <> 0 and page_id % 11 <> 0 and page_id % 13 = 0")
+@query("""select case when page_id % 7 = 0 and state = 'extra' then 'data/moved/' else 'data/' end || page_id as path, 'sha256' as alg, state from (
+  select page_id, unnest(case when page_id % 7 = 0 then ['missing', 'extra'] when page_id % 13 = 0 then ['changed'] else [] end) as state from pages)""")
 def fixity_diff(spark, d):
-    pages = V.table(spark, d, "pages").select("page_id", F.concat(F.lit("data/"), F.col("page_id").cast("string")).alias("path"), F.lit("sha256").alias("alg"), F.sha2("html", 256).alias("digest"))
-    changed = F.when(F.col("page_id") % 13 == 0, F.lit("x")).otherwise(F.col("digest"))
-    return files.fixity(pages.where("page_id % 11 <> 0"), pages.where("page_id % 7 <> 0").withColumn("digest", changed))
+    """All pages as a manifest has them, and all as they are: every seventh moved, every thirteenth changed."""
+    p = F.col("page_id")
+    pages = V.table(spark, d, "pages").select(p, F.lit("sha256").alias("alg"), F.sha2("html", 256).alias("digest"))
+    path = lambda folder: F.concat(folder, p.cast("string")).alias("path")
+    then = pages.select(path(F.lit("data/")), "alg", "digest")
+    now = pages.select(path(F.when(p % 7 == 0, "data/moved/").otherwise("data/")), "alg", F.when(p % 13 == 0, "x").otherwise(F.col("digest")).alias("digest"))
+    return files.fixity(then, now)
 
 
 @query("select doc_id, coalesce(authors[1], 'Unknown') || ' (' || coalesce(nullif(left(publication_date, 4), ''), 'n.d.') || '). ' || coalesce(nullif(title, ''), 'Untitled') as label from papers")
@@ -329,11 +368,6 @@ def arxiv_id_from_url(spark, d):
     return V.table(spark, d, "pages").select(url.alias("url"), F.element_at(F.split(url, "/"), -1).alias("arxiv_id"))
 
 
-@query("select * from (values ('Europe PMC', 1000, 'xml,pdf'), ('arXiv', 2000, 'pdf,source')) t(name, max_results_per_query, formats)")
-def source_catalog(spark, d):
-    return registry.catalog(spark).select("name", "max_results_per_query", F.array_join("supported_formats", ",").alias("formats"))
-
-
 @query("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def event_windows(spark, d):
     out = windows.counts(V.table(spark, d, "events"))

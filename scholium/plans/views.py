@@ -59,7 +59,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each event type, day by day, each a revision of the one before."""
     events = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("hits"), F.count_if(F.col("value") > 50).alias("got"))
     number = F.expr("row_number() over (partition by event_type order by day)")
-    rows = events.withColumn("number", number).where("number <= 5")
+    rows = events.withColumn("number", number)
     name = lambda n: F.concat("event_type", F.lit("_"), n.cast("string"))
     return rows.select(name(F.col("number")).alias("query_name"), F.when(F.col("number") > 1, name(F.col("number") - 1)).alias("revision_of"), F.concat(F.lit("out/"), "event_type").alias("output_dir"), F.col("hits").cast("int").alias("result_count"), F.col("got").cast("int").alias("downloaded_count"))
 
@@ -105,5 +105,5 @@ review as (
 runs as (
   select event_type || '_' || number as query_name, case when number > 1 then event_type || '_' || (number - 1) end as revision_of, 'out/' || event_type as output_dir, hits::int as result_count, got::int as downloaded_count
   from (select event_type, day, hits, got, row_number() over (partition by event_type order by day) as number
-        from (select event_type, ts::date as day, count(*) as hits, count(*) filter (value > 50) as got from events group by all)) where number <= 5)
+        from (select event_type, ts::date as day, count(*) as hits, count(*) filter (value > 50) as got from events group by all)))
 """

@@ -9,9 +9,10 @@ def _fields(*names: str) -> list[T.StructField]:
     return [T.StructField(n, _S) for n in names]
 
 
+#: ``extra`` has every key that has no column.
 PAPERS = T.StructType(
     [T.StructField("paper_id", _S, False), *_fields("source", "pmcid", "pmid", "arxiv_id", "doi", "title", "abstract")]
-    + [T.StructField("authors", T.ArrayType(_S)), *_fields("publication_date", "journal"), T.StructField("categories", T.ArrayType(_S)), T.StructField("extra", T.MapType(_S, _S))]
+    + [T.StructField("authors", T.ArrayType(_S)), *_fields("publication_date", "journal"), T.StructField("categories", T.ArrayType(_S)), T.StructField("extra", T.VariantType())]
 )
 FILES = T.StructType([*_fields("paper_id", "kind", "path"), T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType())])
 #: Fixed order of the review table's columns.

@@ -157,3 +157,35 @@ def test_requests_are_spaced(spark):
     began = time.monotonic()
     a.fetch("u", paced=False)
     assert time.monotonic() - began < 0.1
+
+
+def test_run_query_and_review_of_arxiv(spark, tmp_path):
+    def get(url):
+        return ATOM if "api/query" in url else b"%PDF"
+
+    out = workflow.run_query_and_review(spark, "q", "x", str(tmp_path / "o"), repository="arxiv", limit=2, formats=["pdf"], fetch=get)
+    row = out["table"].first()
+    assert (row.paper_id, row.has_pdf, out["downloaded_count"]) == ("europe_pmc_2401.1", True, 1)
+
+
+def test_any_failure_of_an_item_lets_the_others_go_on(spark, tmp_path):
+    origin = registry.source("europe_pmc", spark, fetch)
+    asked = origin.download
+
+    def download(paper, *rest):
+        if paper == "2":
+            raise ValueError("malformed answer")
+        return asked(paper, *rest)
+
+    origin.download = download
+    _, done, failed = workflow.search_and_download(origin, "air", 4, str(tmp_path / "p"), ["xml"])
+    assert done == ["PMC1"] and failed["2"] == "malformed answer" and set(failed) == {"2", "PMC3"}
+
+
+def test_bags_with_any_name(spark, tmp_path):
+    for name in ("c++", "a b(1)", "bag/data/bag"):
+        bag = files.Bag(spark, f"{tmp_path}/{name}").create()
+        with open(f"{bag.path}/data/x.txt", "w") as out:
+            out.write("x")
+        bag.update()
+        assert bag.valid() and {r.path for r in bag.expected().collect()} == {"data/keep", "data/x.txt"}
