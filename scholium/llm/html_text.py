@@ -13,7 +13,7 @@ afresh within named surroundings, and so does article, but for those of comments
 adverts and related pages and for nav, footer, aside, menu and dialog elements.
 
 Scripts, styles and the head are no text. The tokenizer is one pass of a
-regular expression over the page, so a page costs time in proportion to its length
+regular expression over the page, an end tag without its start costs no search, and so a page costs time in proportion to its length
 and memory in proportion to the page itself.
 
 Defined results: a null or empty html, and one without main text, give an
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,8 @@ from .html_samples import PAGES
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*>?|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _CALLED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?=[\s=>/])|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -67,6 +69,8 @@ STATE_WORDS = frozenset("active disabled enabled closed fixed full has is layout
 HOLDERS = frozenset("ad ads advert advertisement adverts comment comments disqus promo promoted related replies reply respond sponsor sponsored".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KINDS = {"p": 1, "li": 3, "dd": 3, "dt": 3, "td": 4, "th": 4, "blockquote": 1, "pre": 1, "figcaption": 1} | dict.fromkeys(HEADINGS, 2)
+#: A form, or what is named like surroundings, that holds this share of a page's words, and so many, is the page.
+WRAPPED, WRAPPED_WORDS = 0.5, 60
 FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "main", "side", "kind", "stop"]
 
 
@@ -79,6 +83,7 @@ class Block:
     side: int
     kind: int
     label: int | None = None
+    cause: int = 0
 
 
 def _called(tag: str) -> tuple[int, int]:
@@ -94,6 +99,15 @@ def _called(tag: str) -> tuple[int, int]:
     return int(main and not side), side
 
 
+def _hidden(tag: str) -> bool:
+    """Whether a tag has the attribute hidden, or a style that displays nothing; what other attributes say counts for nothing."""
+    low = tag.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    found = [(a.lower(), v) for a, v in _ATTRIBUTE.findall(tag, len(_NAME.match(tag)[0]))]
+    return any(a == "hidden" or a == "style" and _NONE.search(v) for a, v in found)
+
+
 class _Ahead:
     """Whether an element that is opened at a place of the page is closed; each name's tags are sought once over the page."""
 
@@ -115,10 +129,13 @@ class _Ahead:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int | None]] = []
+    nowhere = ("", 0, 0, 0, None, 0)
+    stack: list[tuple[str, int, int, int, int | None, int]] = []
+    opened: Counter[str] = Counter()  # so that a stray end costs no look through the stack
+    unended: set[str] = set()
     pieces: list[tuple[str, bool]] = []
-    link, skip = False, 0
-    now = ("", 0, 0, 0, None)
+    link, skip, causes = False, 0, 0
+    now = nowhere
     ahead = _Ahead(page)
 
     def flush():
@@ -127,15 +144,20 @@ def blocks(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(p.split()) for p, in_link in pieces if in_link)
-                out.append(Block(text, words, min(1.0, linked / words), now[1], int(now[2] > 0), now[3], now[4]))
+                out.append(Block(text, words, min(1.0, linked / words), now[1], int(now[2] > 0), now[3], now[4], now[5] if now[2] == 1 else 0))
             pieces.clear()
 
-    def end_head():
+    def cut(depth: int):
         nonlocal skip
+        gone = stack[depth:]
+        skip -= sum(t[0] in SKIPPED for t in gone)
+        opened.subtract(t[0] for t in gone)
+        del stack[depth:]
+
+    def end_head():
         depth = next((i for i, t in enumerate(stack[:2]) if t[0] == "head"), None)
         if depth is not None:
-            skip -= sum(t[0] in SKIPPED for t in stack[depth:])
-            del stack[depth:]
+            cut(depth)
 
     at, end = 0, len(page)
     sections = page.rfind("]]>")
@@ -145,7 +167,7 @@ def blocks(page: str) -> list[Block]:
         if token[0] != "<" or token == "<":
             if skip and stack[-1][0] == "head" and token.strip():
                 end_head()
-                now = stack[-1] if stack else ("", 0, 0, 0, None)
+                now = stack[-1] if stack else nowhere
             if not skip:
                 pieces.append((token, link))
             continue
@@ -160,9 +182,11 @@ def blocks(page: str) -> list[Block]:
         closing = token[1] == "/"
         if skip and not closing and name not in IN_HEAD:
             end_head()
-            now = stack[-1] if stack else ("", 0, 0, 0, None)
+            now = stack[-1] if stack else nowhere
         if name in RAW and not closing:
-            stop = re.compile(rf"</{name}\s*[^>]*>?", re.I).search(page, at)
+            stop = None if name in unended else re.compile(rf"</{name}\s*[^>]*>?", re.I).search(page, at)
+            if not stop:
+                unended.add(name)
             at = stop.end() if stop else at if name.startswith("annotation") else end
             continue
         if name in INLINE:
@@ -173,36 +197,45 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                skip -= sum(t[0] in SKIPPED for t in stack[depth:])
-                del stack[depth:]
+            if opened[name] > 0:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
                 link = False
         elif name == "head" and any(t[0] != "html" for t in stack):
             pass
         elif name not in VOID and not token.endswith("/>") and (name not in SKIPPED or name == "head" or ahead.closed(name, at)):
             if name in KINDS and stack and stack[-1][0] in ("p", "li", "dd", "dt", "td", "th", *HEADINGS) and (stack[-1][0] in ("p", *HEADINGS) or stack[-1][0] == name):
-                stack.pop()
-            _, main, side, _, label = stack[-1] if stack else ("", 0, 0, 0, None)
+                cut(len(stack) - 1)
+            _, main, side, _, label, cause = stack[-1] if stack else nowhere
             by_main, by_side = _called(token) if name not in ("html", "body") else (0, 0)
             if name in SIDE_TAGS:
                 side = 2
             elif name == "main" or _ROLE.search(token):
                 main, side = 1, 3 if side == 3 else 0
             elif name == "form" or by_side or name == "header" and not main:
+                if max(by_side, 1) >= side:
+                    causes += 1
+                    cause = causes
                 side = max(side, by_side, 1)
             elif name in MAIN_TAGS:
                 main, side = 1, side if side > 1 else 0
             elif by_main:
                 main = 1
-            if name not in ("html", "body") and _HIDDEN.search(token):
+            if name not in ("html", "body") and _hidden(token):
                 side = 3
             if " data-main" in token:
                 label = int('data-main="1"' in token)
-            stack.append((name, main, side, KINDS.get(name, 0), label))
+            stack.append((name, main, side, KINDS.get(name, 0), label, cause))
+            opened[name] += 1
             skip += name in SKIPPED
-        now = stack[-1] if stack else ("", 0, 0, 0, None)
+        now = stack[-1] if stack else nowhere
     flush()
+    held = Counter()
+    for b in out:
+        held[b.cause] += b.words
+    whole = {c for c, n in held.items() if c and n >= WRAPPED_WORDS and n > WRAPPED * sum(held.values())}
+    for b in out:
+        if b.cause in whole:
+            b.side = 0
     return out
 
 

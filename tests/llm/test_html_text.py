@@ -130,3 +130,41 @@ def test_article_headers_and_sections():
     assert html_text.main_text(ARTICLE.replace("Shut.", "Shut <![CDATA[never> closed."), TREE).endswith("Shut closed.")
     assert "secret" not in html_text.main_text(f"<body><select><![CDATA[secret]]></select>{ARTICLE}", TREE)
     assert html_text.main_text("<body>" + "<![CDATA[" * 50_000 + ">" + ARTICLE, TREE) == WANTED
+
+
+PARAGRAPHS = [" ".join(f"word{i}{j}" for j in range(30)) + "." for i in range(6)]
+
+
+def page_in(opening, closing, inner=""):
+    menu = "<nav><a href=a>Home</a> <a href=b>About</a></nav>"
+    return f"<html><body>{opening}{menu}<h1>A heading of some words</h1>{inner}{''.join(f'<p>{p}</p>' for p in PARAGRAPHS)}<div class=footer><p>Copyright by all of us</p></div>{closing}</body></html>"
+
+
+def test_pages_within_forms_and_named_wrappers_stay():
+    tree = html_text.trained()
+    for opening, closing in (("<form id='aspnetForm' method=post>", "</form>"), ("<form id=form1><div class=content>", "</div></form>"), ("<div class='login-page'>", "</div>"), ("<div id='form-container'>", "</div>")):
+        text = html_text.main_text(page_in(opening, closing), tree)
+        assert all(p in text for p in PARAGRAPHS) and "Home" not in text and "Copyright" not in text, opening
+    reply = " ".join(["thanks for this fine and long text"] * 60)
+    talk = html_text.main_text(page_in("", "", f"<div class=comments><p>{reply}</p></div>"), tree)
+    assert all(p in talk for p in PARAGRAPHS) and "thanks" not in talk
+
+
+def test_only_the_attribute_hides():
+    tree = html_text.trained()
+    for tag in ("<article title='the hidden valley'>", "<article aria-label='our hidden harbour'>", "<article data-hidden=x data-note='display: none'>", "<article title=\"a > hidden\">"):
+        assert all(p in html_text.main_text(page_in(tag, "</article>"), tree) for p in PARAGRAPHS), tag
+    for tag in ("<div hidden>", "<div HIDDEN=''>", "<div style='color:red; display : none'>", "<div class=content hidden>"):
+        assert PARAGRAPHS[0] not in html_text.main_text(page_in(tag, "</div>"), tree), tag
+
+
+def test_deep_nesting_and_stray_ends_cost_in_proportion():
+    import time
+
+    tree = html_text.trained()
+    took = []
+    for n in (20_000, 100_000):
+        began = time.process_time()
+        assert html_text.main_text("<div>" * n + "<p>x</p></section>" * n + "<annotation>" * n, tree) is not None
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
