@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import urllib.parse
 import uuid
 import xml.etree.ElementTree as ET
-from datetime import date
+from datetime import date, datetime
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import MetadataError
 from ..functions.text import filled
 
+ALGORITHMS = ("sha256", "sha512")
+STATE = ".fixity"
+FILE = [T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType())]
 EXTRACTED = "path string, file_type string, file_size long, title string, abstract string, doi string, authors array<string>, creator string, json string, error string"
 
 
@@ -108,34 +116,93 @@ def digest(content: Column, algorithm: str = "sha256") -> Column:
     return F.sha2(content, int(algorithm.removeprefix("sha")))
 
 
-def _empty(spark: SparkSession, root: str) -> list[str]:
-    """Files of no bytes, which the binary reader leaves out."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
-    out = []
-    while found.hasNext():
-        status = found.next()
-        if status.getLen() == 0:
-            out.append(status.getPath().toString())
-    return out
-
-
-def _qualified(spark: SparkSession, path: str) -> str:
-    """A path as the readers of a session spell it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+class Folder:
+    """A directory on whatever file system the session knows its path by."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self._jvm, self.path = spark, spark.sparkContext._jvm, path.rstrip("/")
+        fs = self.at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.root = fs.makeQualified(self.at()).toString()
+        # a local file system's own writer would leave a checksum file beside every tag file
+        self.fs = fs.getRawFileSystem() if fs.getScheme() == "file" else fs
+
+    def at(self, name: str = ""):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.at(name))
+
+    def replace(self, old: str, new: str) -> None:
+        self.fs.delete(self.at(new), True)
+        self.fs.rename(self.at(old), self.at(new))
+
+    def write(self, name: str, text: str) -> None:
+        """A small file, which appears whole."""
+        temporary = f".{uuid.uuid4().hex}"
+        stream = self.fs.create(self.at(temporary), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        self.replace(temporary, name)
+
+    def write_lines(self, name: str, lines: DataFrame) -> None:
+        """A file of a column of lines, ascending; one task sorts and writes them, as the format has one file."""
+        temporary = f".{uuid.uuid4().hex}"
+        lines.coalesce(1).sortWithinPartitions(*lines.columns).write.text(f"{self.path}/{temporary}")
+        parts = self.fs.globStatus(self.at(f"{temporary}/part-*"))
+        if parts:
+            self.fs.delete(self.at(name), True)
+            self.fs.rename(parts[0].getPath(), self.at(name))
+        else:
+            self.write(name, "")
+        self.fs.delete(self.at(temporary), True)
+
+    def files(self, name: str) -> DataFrame:
+        """(path, length, modified) of all files below, empty ones too, which the binary reader leaves out."""
+        rows = listing(self.spark, f"{self.path}/{name}")
+        found, empty = self.fs.listFiles(self.at(name), True), []
+        while found.hasNext():
+            status = found.next()
+            if status.getLen() == 0:
+                empty.append((status.getPath().toString(), 0, datetime.fromtimestamp(status.getModificationTime() / 1000)))
+        return rows.unionByName(self.spark.createDataFrame(empty, "path string, length long, modified timestamp")) if empty else rows
+
+    def relative(self, column: str = "path") -> Column:
+        return F.substr(F.col(column), F.lit(len(self.root) + 2))
+
+
+def hashed(files: DataFrame, algorithms: tuple[str, ...] = ALGORITHMS, chunk: int = 8 << 20) -> DataFrame:
+    """Adds a digest for each algorithm to rows with a path: each file is streamed once, on the executors, whatever its size."""
+    columns, at = files.columns, files.columns.index("path")
+
+    def source(path: str):
+        if path.startswith("file:"):
+            return pa.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+        fs, inner = pa.fs.FileSystem.from_uri(urllib.parse.quote(path, safe=":/@"))
+        return fs, urllib.parse.unquote(inner)
 
-def manifest(spark: SparkSession, bag: str, algorithms: tuple[str, ...] = ("sha256", "sha512")) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found: list[list[str]] = [[] for _ in algorithms]
+            for path in batch.column(at).to_pylist():
+                fs, inner = source(path)
+                sums = [hashlib.new(a) for a in algorithms]
+                with fs.open_input_stream(inner, compression=None) as stream:
+                    while block := stream.read(chunk):
+                        for s in sums:
+                            s.update(block)
+                for out, s in zip(found, sums, strict=True):
+                    out.append(s.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, pa.string()) for f in found)], [*columns, *algorithms])
+
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, *(T.StructField(a, T.StringType()) for a in algorithms)]))
+
+
+def manifest(spark: SparkSession, bag: str, algorithms: tuple[str, ...] = ALGORITHMS) -> DataFrame:
     """(path, alg, digest, length) of every payload file; each file is read once."""
-    root = f"{bag.rstrip('/')}/data"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
-    empty = [(p, 0, bytearray()) for p in _empty(spark, root)]
-    files = files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else files
-    path = F.concat(F.lit("data"), F.substr(F.col("path"), F.lit(len(_qualified(spark, root)) + 1)))
-    digests = F.array(*(F.struct(F.lit(a).alias("alg"), digest(F.col("content"), a).alias("digest")) for a in algorithms))
-    return files.select(path.alias("path"), "length", F.explode(digests).alias("d")).select("path", "d.alg", "d.digest", "length")
+    folder = Folder(spark, bag)
+    rows = hashed(folder.files("data"), algorithms).withColumn("path", folder.relative())
+    digests = F.array(*(F.struct(F.lit(a).alias("alg"), F.col(a).alias("digest")) for a in algorithms))
+    return rows.select("path", "length", F.explode(digests).alias("d")).select("path", "d.alg", "d.digest", "length")
 
 
 def payload_oxum(rows: DataFrame, path: str = "path", length: str = "length") -> DataFrame:
@@ -161,40 +228,44 @@ class Bag:
     FOLDERS = ["data/documents/pdf", "data/documents/xml", "data/documents/html", "data/semantic", "data/metadata", "data/keyphrases", "data/indices", "relations", "analysis", "provenance"]
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _write(self, name: str, text: str) -> None:
-        temporary = f"{self.path}/.{name}.{uuid.uuid4().hex}"
-        with open(temporary, "w", encoding="utf-8") as out:
-            out.write(text)
-        os.replace(temporary, f"{self.path}/{name}")
+        self.spark, self.path, self.folder = spark, path.rstrip("/"), Folder(spark, path)
 
     def create(self, info: dict[str, str] | None = None) -> Bag:
-        for folder in self.FOLDERS:
-            os.makedirs(f"{self.path}/{folder}", exist_ok=True)
-        if not any(files for _, _, files in os.walk(f"{self.path}/data")):
-            open(f"{self.path}/data/keep", "w").close()
-        if not os.path.exists(f"{self.path}/bagit.txt"):
-            self._write("bagit.txt", "BagIt-Version: 0.97\nTag-File-Character-Encoding: UTF-8\n")
+        for name in self.FOLDERS:
+            self.folder.fs.mkdirs(self.folder.at(name))
+        if not self.folder.fs.listFiles(self.folder.at("data"), True).hasNext():
+            self.folder.write("data/keep", "")
+        if not self.folder.exists("bagit.txt"):
+            self.folder.write("bagit.txt", "BagIt-Version: 0.97\nTag-File-Character-Encoding: UTF-8\n")
             self.update(info)
         return self
 
-    def update(self, info: dict[str, str] | None = None) -> None:
-        """Hash the payload anew and write the manifests and bag-info."""
-        rows = manifest(self.spark, self.path).orderBy("alg", "path").collect()
-        for alg in ("sha256", "sha512"):
-            self._write(f"manifest-{alg}.txt", "".join(f"{r.digest}  {r.path}\n" for r in rows if r.alg == alg))
-        oxum = {r.path: r.length for r in rows}
-        tags = self.info() | (info or {}) | {"Bagging-Date": date.today().isoformat(), "Payload-Oxum": f"{sum(oxum.values())}.{len(oxum)}"}
-        self._write("bag-info.txt", "".join(f"{k}: {v}\n" for k, v in tags.items()))
-        import hashlib
-
-        for alg in ("sha256", "sha512"):
-            lines = []
-            for name in ("bag-info.txt", "bagit.txt", "manifest-sha256.txt", "manifest-sha512.txt"):
-                with open(f"{self.path}/{name}", "rb") as tag:
-                    lines.append(f"{hashlib.new(alg, tag.read()).hexdigest()} {name}\n")
-            self._write(f"tagmanifest-{alg}.txt", "".join(lines))
+    def state(self) -> DataFrame:
+        """What the last update found: (path, length, modified) and digests."""
+        schema = T.StructType([*FILE, *(T.StructField(a, T.StringType()) for a in ALGORITHMS)])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{STATE}") if self.folder.exists(STATE) else self.spark.createDataFrame([], schema)
+
+    def update(self, info: dict[str, str] | None = None) -> dict[str, int]:
+        """Write the manifests and bag-info; only files that are new, or of another length or time than at the
+        last update, are read (``valid`` reads them all). How many files and bytes were."""
+        found = self.folder.files("data").withColumn("path", self.folder.relative())
+        known, same = self.state(), ["path", "length", "modified"]
+        new = found.join(known, same, "left_anti")
+        read = hashed(new.withColumn("path", F.concat(F.lit(self.folder.root + "/"), "path"))).withColumn("path", self.folder.relative())
+        fresh = f".fixity-{uuid.uuid4().hex}"
+        read.withColumn("_read", F.lit(True)).unionByName(known.join(found, same, "left_semi"), allowMissingColumns=True).write.parquet(f"{self.path}/{fresh}")
+        rows = self.spark.read.parquet(f"{self.path}/{fresh}")
+        for alg in ALGORITHMS:
+            self.folder.write_lines(f"manifest-{alg}.txt", rows.select(F.concat_ws("  ", alg, "path").alias("value")))
+        total = rows.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"), F.count("_read").alias("read"), F.coalesce(F.sum(F.when(F.col("_read"), F.col("length"))), F.lit(0)).alias("read_bytes")).first()
+        tags = self.info() | (info or {}) | {"Bagging-Date": date.today().isoformat(), "Payload-Oxum": f"{total.bytes}.{total.files}"}
+        self.folder.write("bag-info.txt", "".join(f"{k}: {v}\n" for k, v in tags.items()))
+        names = ["bag-info.txt", "bagit.txt", *(f"manifest-{a}.txt" for a in ALGORITHMS)]
+        own = hashed(self.spark.createDataFrame([(f"{self.folder.root}/{n}",) for n in names], "path string")).collect()
+        for alg in ALGORITHMS:
+            self.folder.write(f"tagmanifest-{alg}.txt", "".join(f"{r[alg]} {r.path.rsplit('/', 1)[1]}\n" for r in sorted(own, key=lambda r: r.path)))
+        self.folder.replace(fresh, STATE)
+        return {"files": total.read, "bytes": total.read_bytes}
 
     def expected(self) -> DataFrame:
         """The manifests as a table."""
@@ -205,13 +276,13 @@ class Bag:
         return fixity(self.expected(), manifest(self.spark, self.path))
 
     def valid(self) -> bool:
-        return os.path.exists(f"{self.path}/manifest-sha256.txt") and self.differences().isEmpty()
+        return self.folder.exists("manifest-sha256.txt") and self.differences().isEmpty()
 
     def info(self) -> dict[str, str]:
-        if not os.path.exists(f"{self.path}/bag-info.txt"):
+        if not self.folder.exists("bag-info.txt"):
             return {}
-        with open(f"{self.path}/bag-info.txt", encoding="utf-8") as lines:
-            return dict(x.rstrip("\n").split(": ", 1) for x in lines if ": " in x)
+        lines = [r.value for r in self.spark.read.text(f"{self.path}/bag-info.txt").collect()]
+        return dict(x.split(": ", 1) for x in lines if ": " in x)
 
     def full_texts(self) -> DataFrame:
         """(paper_id, kind, length) of the documents in the payload."""

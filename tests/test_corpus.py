@@ -190,3 +190,27 @@ def test_pdf_fields(monkeypatch):
     assert files.pdf_fields(b"broken") == {}
     monkeypatch.setitem(sys.modules, "fitz", None)
     assert files.pdf_fields(b"full") == {}
+
+
+def test_updates_read_what_changed(spark, tmp_path):
+    bag = files.Bag(spark, f"{tmp_path}/bag").create()
+    data = tmp_path / "bag" / "data"
+    for i in range(5):
+        (data / f"f {i}.txt").write_text("x" * (i + 1))
+    assert bag.update() == {"files": 5, "bytes": 15} and bag.valid()
+    assert bag.update() == {"files": 0, "bytes": 0}
+    (data / "f 1.txt").write_text("longer")
+    os.remove(data / "f 2.txt")
+    (data / "empty").write_text("")
+    assert bag.update() == {"files": 2, "bytes": 6} and bag.valid()
+    was = os.stat(data / "f 3.txt")
+    (data / "f 3.txt").write_text("yyyy")
+    os.utime(data / "f 3.txt", ns=(was.st_atime_ns, was.st_mtime_ns))
+    assert bag.update() == {"files": 0, "bytes": 0}
+    assert {(r.path, r.state) for r in bag.differences().collect()} == {("data/f 3.txt", "changed")}
+    assert bag.info()["Payload-Oxum"] == f"{1 + 6 + 4 + 5}.6"
+    lines = (tmp_path / "bag" / "manifest-sha512.txt").read_text().splitlines()
+    assert f"{hashlib.sha512(b'longer').hexdigest()}  data/f 1.txt" in lines and len(lines) == 6
+    tags = dict(reversed(x.split(" ", 1)) for x in (tmp_path / "bag" / "tagmanifest-sha256.txt").read_text().splitlines())
+    assert tags["bag-info.txt"] == hashlib.sha256((tmp_path / "bag" / "bag-info.txt").read_bytes()).hexdigest()
+    assert not [n for n in os.listdir(tmp_path / "bag") if n.endswith(".crc")]
