@@ -170,21 +170,23 @@ class Folder:
         return F.substr(F.col(column), F.lit(len(self.root) + 2))
 
 
+def _opened(path: str):
+    """The file system of a path as the readers spell it, and the path within it."""
+    if path.startswith("file:"):
+        return pa.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    fs, inner = pa.fs.FileSystem.from_uri(urllib.parse.quote(path, safe=":/@"))
+    return fs, urllib.parse.unquote(inner)
+
+
 def hashed(files: DataFrame, algorithms: tuple[str, ...] = ALGORITHMS, chunk: int = 8 << 20) -> DataFrame:
     """Adds a digest for each algorithm to rows with a path: each file is streamed once, on the executors, whatever its size."""
     columns, at = files.columns, files.columns.index("path")
 
-    def source(path: str):
-        if path.startswith("file:"):
-            return pa.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-        fs, inner = pa.fs.FileSystem.from_uri(urllib.parse.quote(path, safe=":/@"))
-        return fs, urllib.parse.unquote(inner)
-
     def run(batches):
         for batch in batches:
             found: list[list[str]] = [[] for _ in algorithms]
             for path in batch.column(at).to_pylist():
-                fs, inner = source(path)
+                fs, inner = _opened(path)
                 sums = [hashlib.new(a) for a in algorithms]
                 with fs.open_input_stream(inner, compression=None) as stream:
                     while block := stream.read(chunk):
@@ -197,6 +199,22 @@ def hashed(files: DataFrame, algorithms: tuple[str, ...] = ALGORITHMS, chunk: in
     return files.mapInArrow(run, T.StructType([*files.schema.fields, *(T.StructField(a, T.StringType()) for a in algorithms)]))
 
 
+def write_metadata(papers: DataFrame, bag: str) -> int:
+    """<paper_id>_metadata.json of each paper in a bag's payload, written by the executors: the paper's filled columns and open metadata; how many."""
+    folder = f"{Folder(papers.sparkSession, bag).root}/data/metadata"
+
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, inner = _opened(f"{folder}/{name.replace('/', '_')}_metadata.json")
+                with fs.open_output_stream(inner) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["paper_id"])
+
+    rows = papers.select("paper_id", F.to_json(F.struct(*papers.columns)).alias("text"))
+    return rows.mapInArrow(run, "paper_id string").count()
+
+
 def manifest(spark: SparkSession, bag: str, algorithms: tuple[str, ...] = ALGORITHMS) -> DataFrame:
     """(path, alg, digest, length) of every payload file; each file is read once."""
     folder = Folder(spark, bag)

@@ -88,7 +88,11 @@ def ingest_and_review(spark: SparkSession, directory: str, corpus_dir: str, quer
     """Record folders and their full texts into a bagged corpus, and its review table; each format's path."""
     bag = files.Bag(spark, corpus_dir).create()
     corpus = Corpus(spark, tables_of(corpus_dir))
-    ingest.ingest_folders(spark, directory, corpus, bag=bag)
+    added = ingest.ingest_folders(spark, directory, corpus, bag=bag)
+    if added:
+        new = spark.createDataFrame([(i,) for i in added], "paper_id string").distinct()
+        files.write_metadata(corpus.papers().join(new, "paper_id"), corpus_dir)
+        bag.update()
     name, text = runs.context(spark, query_run)
     table = review.rows(review.with_files(corpus.papers(), bag.full_texts()), name, text)
     return review.export(table, os.path.join(corpus_dir, "analysis", "review"))

@@ -114,11 +114,14 @@ def test_ingest_review_and_export(spark, tmp_path):
     bag = files.Bag(spark, root)
     assert bag.valid() and os.path.exists(f"{root}/data/documents/xml/europe_pmc_PMC1.xml") and len(os.listdir(f"{root}/data/documents/xml")) == 1
     listed = {r.path for r in bag.expected().where("alg = 'sha512'").collect()}
-    assert "data/documents/xml/europe_pmc_PMC1.xml" in listed
+    assert {"data/documents/xml/europe_pmc_PMC1.xml", "data/metadata/europe_pmc_PMC1_metadata.json"} <= listed
+    assert json.load(open(f"{root}/data/metadata/europe_pmc_PMC1_metadata.json"))["title"] == "Air quality index of Delhi"
     assert json.load(open(workflow.export_reviewed(spark, root, str(tmp_path / "all"))))["paper_count"] == 2
     rows["europe_pmc_PMC1"]["review_status"] = "include"
     (tmp_path / "edited.json").write_text(json.dumps(list(rows.values())))
-    made = json.load(open(workflow.export_reviewed(spark, root, str(tmp_path / "some"), str(tmp_path / "edited.json"))))
+    path = workflow.export_reviewed(spark, root, str(tmp_path / "some"), str(tmp_path / "edited.json"))
+    made = json.load(open(path))
+    assert os.path.basename(path) == "chatbot_manifest.json" and os.path.exists(made["papers"][0]["metadata_path"])
     assert made["paper_count"] == 1 and made["papers"][0]["source_id"] == "europe_pmc_PMC1" and made["papers"][0]["xml_path"].endswith("europe_pmc_PMC1.xml")
 
 
