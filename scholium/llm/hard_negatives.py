@@ -7,7 +7,7 @@ questions (an anchor's vector, a range of scores, the same label or another, how
 in blocks of ``BLOCK`` questions, and the shards' best are merged.
 
 Within a shard candidates and questions each have a tree: at its root the labels part,
-below that the larger half of a direction of spread; a node is a range of rows with a
+below that rows part along a direction of spread; a node is a range of rows with a
 centre, a radius and a largest norm. For a pair of nodes these bound every inner product between
 them. A pair is left out at once, for all questions of its node, where the labels can't
 match, where the upper bound is below what each question has already found (or its
@@ -77,14 +77,17 @@ class Tree:
         return len(self.nodes) - 1
 
     def _split(self, x: np.ndarray, a: int, b: int, leaf: int) -> int:
-        """The node over order[a:b], halved along the line from the row farthest from the centre to the one farthest from that."""
+        """The node over order[a:b], parted midway between the row farthest from the centre and the one farthest from that; by halves where that leaves less than an eighth."""
         if b - a <= leaf:
             return self._node(a, b, -1, -1)
         rows = x[self.order[a:b]]
         one = rows[((rows - rows.mean(axis=0)) ** 2).sum(axis=1).argmax()]
         other = rows[((rows - one) ** 2).sum(axis=1).argmax()]
-        half = (b - a) // 2
-        self.order[a:b] = self.order[a:b][np.argpartition(rows @ (other - one), half)]
+        along = rows @ (other - one)
+        half = int((along <= (along.min() + along.max()) / 2).sum())
+        if min(half, b - a - half) < (b - a) / 8:
+            half = (b - a) // 2
+        self.order[a:b] = self.order[a:b][np.argpartition(along, half)]
         left, right = self._split(x, a, a + half, leaf), self._split(x, a + half, b, leaf)
         return self._node(a, b, left, right)
 
