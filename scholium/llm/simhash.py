@@ -7,8 +7,8 @@ or fewer differing bits are found among vectors at Manhattan distance BITS or
 less. The segments form ``GROUPS`` groups, of which a linked pair differs in BITS at most, so
 it has the same counts throughout some GROUPS - BITS of them. Each such choice of groups
 is a grid, whose cells are the counts of its groups: a fingerprint is entered in one cell of
-each of the 70 grids, and every linked pair meets in a cell. Candidates are verified
-there by their exact Hamming distance. Two random fingerprints share a cell with a probability
+each of the 70 grids, and every linked pair meets in a cell. There the range condition of the
+join is the Manhattan distance of all their counts; those within it are verified by their exact Hamming distance. Two random fingerprints share a cell with a probability
 of 1 in 90,000.
 
 Copies share a fingerprint and enter the grids once. A cell emits links that
@@ -82,6 +82,13 @@ def embed(fps: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     return bits.reshape(len(fps), -1, segment).sum(axis=2, dtype=np.int64)
 
 
+def unary(fps: np.ndarray) -> np.ndarray:
+    """Each two-bit segment's count in unary: as many bits differ in two of these as is the Manhattan distance of their counts."""
+    low = np.uint64(0x5555555555555555)
+    a, b = fps & low, (fps >> np.uint64(1)) & low
+    return a | b | (a & b) << np.uint64(1)
+
+
 def cells(fps: np.ndarray, segment: int = SEGMENT, groups: int = GROUPS, bits: int = BITS) -> np.ndarray:
     """The cell of each fingerprint in each grid, a row for each fingerprint."""
     counts = embed(fps, segment)
@@ -112,11 +119,13 @@ class Joined:
 
 def _block_links(fps: np.ndarray, rows: np.ndarray, own: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links between ``rows`` and ``own`` (positions in fps) that join what was apart."""
-    joined, own_fps = Joined(len(fps)), fps[own]
+    joined, counts = Joined(len(fps)), unary(fps)
     step = max(1, CHUNK // max(1, len(own)))
     for at in range(0, len(rows), step):
         part = rows[at : at + step]
-        near = np.bitwise_count(fps[part][:, None] ^ own_fps[None, :]) <= bits
+        near = np.bitwise_count(counts[part][:, None] ^ counts[own][None, :]) <= bits
+        i, j = np.nonzero(near)
+        near[i, j] = np.bitwise_count(fps[part[i]] ^ fps[own[j]]) <= bits
         for k in np.flatnonzero(near.any(axis=1)):
             others = own[near[k]]
             joined.meet(int(part[k]), others[others != part[k]])
@@ -130,6 +139,7 @@ def _cell_links(cell: np.ndarray, fps: np.ndarray, reps: np.ndarray, bits: int):
     a, b = [], []
     small = (sizes <= SMALL) & (sizes > 1)
     if small.any():
+        counts = unary(fps)
         s, z = starts[small], sizes[small]
         rows = np.repeat(s, z) + (np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z))
         n = np.repeat(s + z, z) - rows - 1
@@ -140,6 +150,8 @@ def _cell_links(cell: np.ndarray, fps: np.ndarray, reps: np.ndarray, bits: int):
             m = n[begin:end]
             left = np.repeat(rows[begin:end], m)
             right = left + 1 + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+            near = np.bitwise_count(counts[left] ^ counts[right]) <= bits
+            left, right = left[near], right[near]
             near = np.bitwise_count(fps[left] ^ fps[right]) <= bits
             a.append(reps[left[near]])
             b.append(reps[right[near]])

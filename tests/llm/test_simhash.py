@@ -99,3 +99,11 @@ def test_query_matches_all_pairs(spark):
     fps = {d: plain_fingerprint(t or "") for d, t in texts.items()}
     assert {d: r.fingerprint for d, r in got.items()} == {d: f"{f:016x}" for d, f in fps.items()}
     assert {d: r.component_id for d, r in got.items()} == plain_components(fps)
+
+
+def test_unary_counts_give_the_manhattan_distance():
+    fps = np.random.default_rng(5).integers(0, 1 << 63, 4000, dtype=np.uint64)
+    a, b = fps[:2000], fps[2000:]
+    counts = simhash.unary(a) ^ simhash.unary(b)
+    assert (np.bitwise_count(counts) == np.abs(simhash.embed(a) - simhash.embed(b)).sum(axis=1)).all()
+    assert (np.bitwise_count(counts) <= np.bitwise_count(a ^ b)).all()
