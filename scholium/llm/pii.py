@@ -22,7 +22,8 @@ smaller ones not.
 All of it is DataFrame expressions: spans come from the parts between matches
 (split) and the matches (regexp_extract_all), whose lengths add up to offsets.
 The patterns are possessive, and start only where no earlier start could have
-matched, so a long text costs time in proportion to its length.
+matched, so a long text costs time in proportion to its length; n matches in it cost sums of some n^1.5 small numbers. A row's own list of terms is one pattern,
+tried at every word of that row.
 
 Scale: the rows with an entity are written once, and only their lines and words are exploded; all
 counts are partly aggregated before their shuffle, so a line that a third of all documents share is
@@ -84,22 +85,76 @@ def _may_have(kind: str, text: Column) -> Column:
 
 
 _SPAN = "array<struct<start:int,rank:int,stop:int,found:string>>"
+CUT = 1024  # characters of the blocks that a text is read in
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, combine) -> Column:
+    """What ``combine`` makes of 0 and all numbers before each, and after the last; null for null.
+
+    A fold copies what it has gathered at every step, so folds carry a number only: first those of
+    blocks as long as there are blocks, then those within each."""
+
+    def fold(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), combine)
+
+    def scan(all_values: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_values))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(all_values) - 1) / width).cast("int")), lambda b: F.slice(all_values, b * width + 1, width))
+        return _let(blocks, lambda parts: _let(F.transform(parts, fold), lambda totals: F.flatten(F.transform(parts, lambda part, b: within(part, fold(F.slice(totals, 1, b)))))))
+
+    def within(part: Column, base: Column) -> Column:
+        return _let(base, lambda begin: F.transform(part, lambda _, i: combine(begin, fold(F.slice(part, 1, i)))))
+
+    return _let(F.concat(values, F.array(F.lit(0))), lambda all_values: F.when(F.size(all_values) > 0, scan(all_values)))
 
 
 def _spans(parts: Column, matches: Column, kind: str, rank: int) -> Column:
     """Spans of the matches, whose places follow from the lengths of all before them."""
-    nothing = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["part"])
-        stop = begin + F.length(pair["found"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), pair["found"].alias("found")))
-        added = F.when(_valid(kind, pair["found"]), F.concat(acc["out"], span)).otherwise(acc["out"])
-        return F.when(pair["found"].isNull(), acc).otherwise(F.struct(stop.alias("at"), added.alias("out")))
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda p: F.length(p["part"]) + F.coalesce(F.length(p["found"]), F.lit(0)))
+        return _let(_before(lengths, lambda a, b: a + b), lambda starts: F.transform(pairs, lambda p, i: span(p, F.get(starts, i) + F.length(p["part"]))))
+
+    def span(p: Column, begin: Column) -> Column:
+        return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.length(p["found"])).alias("stop"), p["found"].alias("found"))
+
+    every = _let(F.arrays_zip(parts.alias("part"), matches.alias("found")), placed)
+    return F.coalesce(F.filter(every, lambda s: s["found"].isNotNull() & _valid(kind, s["found"])).cast(_SPAN), F.array().cast(_SPAN))
 
-    pairs = F.arrays_zip(parts.alias("part"), matches.alias("found"))
-    return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["out"]), nothing)
+
+def _blocks(text: Column) -> Column:
+    """A text in blocks of ``CUT`` characters, so that a place in it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+
+def _between(blocks: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` to ``stop`` of a text in ``blocks``."""
+    first, last = (start / CUT).cast("int"), (stop / CUT).cast("int")
+    head = F.substring(F.get(blocks, first), start % CUT + 1, F.least(stop - start, F.lit(CUT)))
+    tail = F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), stop % CUT)
+    spread = F.concat(head, F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), tail)
+    return F.when(stop <= start, "").when(first == last, head).otherwise(spread)
+
+
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """``text`` with ``mark(span)`` for each span, in start order; one that begins within an earlier one has no mark of its own."""
+
+    def joined(blocks: Column, all_spans: Column, stops: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            return F.when(s["start"] >= F.get(stops, i), F.concat(_between(blocks, F.get(stops, i), s["start"]), mark(s)))
+
+        rest = _between(blocks, F.element_at(stops, -1), F.length(text))
+        return F.concat(F.array_join(F.transform(all_spans, piece), ""), rest)
+
+    def reached(all_spans: Column) -> Column:
+        return _before(F.transform(all_spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+
+    return _let(_blocks(text), lambda blocks: _let(spans, lambda all_spans: _let(reached(all_spans), lambda stops: joined(blocks, all_spans, stops))))
 
 
 def with_spans(rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -142,7 +197,7 @@ def contexts(held: DataFrame) -> DataFrame:
     """(entities, terms, inside) of every line that has entities: these, the different words beside them, and those found within them only."""
     lines = held.select(F.explode(_lines(F.col("body"))).alias("line"))
     found = with_spans(lines, "line", "spans").where(F.size("spans") > 0)
-    rest = F.aggregate("spans", F.col("line"), lambda acc, s: F.replace(acc, s["found"], F.lit(" ")))
+    rest = _replaced(F.col("line"), F.col("spans"), lambda s: F.lit(" "))
     found = found.select(_entities(F.col("spans")).alias("entities"), _words(rest).alias("terms"), _words(F.col("line")).alias("every"))
     return found.select("entities", "terms", F.array_except("every", "terms").alias("inside"))
 
@@ -241,18 +296,13 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: s
     """``docs`` with its columns, personal data replaced, disclosing terms generalised or removed, ``length`` recounted."""
     base, more, gone, body, *_ = names(docs)
     rows = sanitised(docs, key, text)
-    spans = F.array_sort(F.concat(base, more))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    changed = F.size(base) + F.size(more) > 0
     marks = F.array(*(F.lit(PLACEHOLDERS[k]) for k in KINDS))
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.when(s["rank"] < len(KINDS), F.get(marks, s["rank"])).when(F.array_contains(gone, F.lower(s["found"])), "").otherwise(GENERAL)
-        before = F.substring(F.col(body), acc["at"] + 1, s["start"] - acc["at"])
-        apart = F.struct(s["stop"].alias("at"), F.concat(acc["out"], before, mark).alias("out"))
-        return F.when(s["start"] >= acc["at"], apart).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+    def mark(s: Column) -> Column:
+        return F.when(s["rank"] < len(KINDS), F.get(marks, s["rank"])).when(F.array_contains(gone, F.lower(s["found"])), "").otherwise(GENERAL)
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(body), acc["at"] + 1, F.length(body))))
-    changed = F.size(base) + F.size(more) > 0
+    whole = _replaced(F.col(body), F.array_sort(F.concat(base, more)), mark)
     new = {text: F.when(changed, whole).otherwise(F.col(f"`{text}`"))}
     rows = rows.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
     if length in docs.columns:

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,32 @@ def test_clean_documents_are_left_alone(spark):
     rows = pii.op1_pii(spark, "/root/testdata/sf0.1")
     got = rows.selectExpr("n_email + n_ip + n_card + n_phone as n", "n_term", "spans").agg(F.expr("count_if(n = 0 and spans <> '')").alias("touched"), F.sum("n_term").alias("terms")).first()
     assert got.touched == 0 and got.terms > 0
+
+
+def plainly_replaced(text):
+    out, at = [], 0
+    for _, start, stop in (s.split(":") for s in plain(text)):
+        if int(start) >= at:
+            out += [text[at : int(start)], "[X]"]
+        at = max(at, int(stop))
+    return "".join(out) + text[at:]
+
+
+def test_spans_are_replaced_across_blocks(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["é" * rng.randrange(1, 3 * pii.CUT), " a@b.c ", "1.2.3.4", " +49 171 4111111111111111 ", "\n", "𝛼" * pii.CUT]) for _ in range(12)) for _ in range(40)]
+    texts += ["a@b.c" + "x " * pii.CUT, "y" * (pii.CUT - 1) + " a@b.c", " " * pii.CUT + "a@b.c", "a@b.c", "x" * pii.CUT, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.with_spans(docs, "text", "spans")
+    for r in rows.select("doc_id", pii._replaced(F.col("text"), F.col("spans"), lambda s: F.lit("[X]")).alias("out")).collect():
+        assert r.out == plainly_replaced(texts[r.doc_id])
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@h{i % 977}.org" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+    began = time.monotonic()
+    got = pii.report(docs).first()
+    assert got.n_email == 50_000 and got.base_sha256 == hashlib.sha256(",".join(plain(text)).encode()).hexdigest()
+    assert pii.redacted(docs).first().text == " ".join(["[EMAIL]"] * 50_000)
+    assert time.monotonic() - began < 60
