@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import corpus, export, files, keywords, lexicon, review, runs
 from ..operators.search_index import SearchIndex
 from ..shared import new_path
-from ..streaming import windows
+from ..streaming import changes, windows
 from . import views as V
 
 QUERIES: dict = {}
@@ -334,6 +334,29 @@ def run_revision_chain(spark, d):
     return runs.revisions(V.runs(spark, d))
 
 
+_CHANGES = """
+with hits as (
+  select event_type as query_name, user_id::varchar as key, (ts::date - date '2000-01-01')::int as run, count(*)::varchar as digest
+  from events where ts is not null and user_id is not null group by all),
+seen as (
+  select *, lag(run) over w as before, lag(digest) over w as was, lead(run) over w as after, max(run) over () as last
+  from hits window w as (partition by query_name, key order by run))
+select query_name, key, run, case when before = run - 1 then 'changed' else 'new' end as change, digest from seen where before is distinct from run - 1 or digest <> was
+union all
+select query_name, key, (run + 1)::int, 'dropped', digest from seen where coalesce(after, last + 1) > run + 1
+"""
+
+
+@query(_CHANGES)
+def run_changes(spark, d):
+    return changes.between(V.hits(spark, d))
+
+
+@query(_CHANGES)
+def run_changes_stream(spark, d):
+    return changes.followed_table(spark, V.hits(spark, d))
+
+
 @query("select r.query_name, r.revision_of, p.result_count as prior_count, r.result_count - p.result_count as change from runs r left join runs p on r.revision_of = p.query_name")
 def run_prior_join(spark, d):
     r = V.runs(spark, d)

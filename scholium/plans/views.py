@@ -64,6 +64,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(name(F.col("number")).alias("query_name"), F.when(F.col("number") > 1, name(F.col("number") - 1)).alias("revision_of"), F.concat(F.lit("out/"), "event_type").alias("output_dir"), F.col("hits").cast("int").alias("result_count"), F.col("got").cast("int").alias("downloaded_count"))
 
 
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of each event type as the papers that a query finds in daily runs, with their events counted."""
+    day = F.to_date("ts")
+    found = table(spark, sf_dir, "events").where("ts is not null").groupBy(F.col("event_type").alias("query_name"), F.col("user_id").cast("string").alias("key"), day.alias("day")).agg(F.count("*").cast("string").alias("digest"))
+    return found.select("query_name", "key", F.datediff("day", F.lit("2000-01-01")).alias("run"), F.col("day").cast("timestamp").alias("run_at"), "digest")
+
+
 SQL = """
 papers as (
   select doc_id, 'doc_' || doc_id as paper_id,
