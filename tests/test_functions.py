@@ -121,3 +121,18 @@ def test_keywords(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "paper_id int, abstract string")
     got = {r.paper_id: r.keywords for r in keywords.keyword_lists(frame).collect()}
     assert got == {i: plain_keywords(t) for i, t in enumerate(texts)}
+
+
+def test_keywords_of_shared_keys_and_without_a_shuffle_of_texts(spark):
+    long = " ".join(f"w{chr(97 + i % 7) * 4} alpha" for i in range(3000))
+    rows = [("a", "beta beta gamma"), ("a", "gamma delta gamma the"), (None, "echo"), (None, "echo foxtrot"), ("b", long), ("c", None), ("d", "")]
+    got = {}
+    for r in keywords.top(spark.createDataFrame(rows, "paper_id string, abstract string")).collect():
+        got.setdefault(r.paper_id, []).append((r.rank, r.word, r.n))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "a": [(1, "gamma", 3), (2, "beta", 2), (3, "delta", 1)],
+        None: [(1, "echo", 2), (2, "foxtrot", 1)],
+        "b": [(1, "alpha", 3000), *((i + 2, f"w{chr(97 + i) * 4}", 429 if i < 4 else 428) for i in range(7))],
+    }
+    alone = keywords.top(spark.createDataFrame(rows[4:], "paper_id string, abstract string"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
