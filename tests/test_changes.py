@@ -73,3 +73,60 @@ def test_queries_equal_sql(spark):
     want = set(duckdb.sql(f"select query_name, key, run, change, digest from ({catalog.ORACLE['run_changes']})").fetchall())
     for name in ("run_changes", "run_changes_stream"):
         assert told(catalog.QUERIES[name](spark, folder)) == want
+
+
+class Handle:
+    """A state of one value and its timers, as a processor sees it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, due):
+        self.timers.remove(due)
+
+    def registerTimer(self, due):
+        self.timers.add(due)
+
+
+class Times:
+    def __init__(self, watermark, due):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = (lambda: watermark), (lambda: due)
+
+
+def test_one_call_takes_many_keys_with_few_calls_to_the_state():
+    import pandas as pd
+
+    rows = [r for r in made(6, 400) if r[1] is not None]
+    handle, found = Handle(), []
+    following = changes.Following()
+    following.init(handle)
+    for part in ([0], [1], [2, 3, 4], [5]):
+        hits = pd.DataFrame([r for r in rows if r[2] in part], columns=["query_name", "key", "run", "run_at", "digest"])
+        hits["at"] = hits["run_at"].astype("datetime64[ms]").astype("int64")
+        found += following.handleInputRows((7,), iter([hits[:500], hits[500:]]), None)
+        watermark = int(hits["at"].max())
+        while due := [t for t in handle.timers if t < watermark]:
+            found += following.handleExpiredTimer((7,), Times(watermark, due[0]), Times(watermark, due[0]))
+    got = [(q, k, int(run), c, None if pd.isna(d) else d) for f in found for q, k, run, c, d in f.itertuples(index=False)]
+    assert len(got) == len(set(got)) and set(got) == plainly(rows)
+    assert handle.calls < 40
