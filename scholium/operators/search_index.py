@@ -1,6 +1,6 @@
 """Substring search of a corpus through trigrams.
 
-The index is two Parquet tables under a path: ``grams`` (gram, block), sorted by gram, and
+The index is two Parquet tables under a path: ``grams`` (gram, block), sorted by gram, which is a number of its three code points, and
 ``texts`` (block, paper_id, text), sorted by block; a block is a share of the papers by a hash of the
 id. A search reads the blocks that hold every trigram of the question, from the few pages with those grams, then
 those blocks' texts, and checks them for the question itself: what it returns is what a scan returns. Questions of
@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +23,49 @@ BLOCKS = 4096
 #: Rows of a page, the least that is read: many postings, few texts.
 GRAMS, TEXTS = 16 << 10, 64
 ALTERNATIVES = 256
+PIECE = 4 << 20  # bytes of text whose trigrams are sorted at once, and the rest of the last text
 
 
 def trigrams(text: str) -> list[str]:
     return sorted({text[i : i + 3] for i in range(len(text) - 2)})
 
 
-def _grams(column):
-    """The different trigrams of a lower-cased text. Its characters are bound to a lambda's name, so they are taken apart once."""
-    signs = F.array(F.regexp_extract_all(column, F.lit("(?s)."), F.lit(0)))
-    each = lambda a: F.transform(a, lambda x, i: F.concat(x, F.get(a, i + 1), F.get(a, i + 2)))
-    return F.array_distinct(F.flatten(F.transform(signs, each)))
+def codes(letters: np.ndarray) -> np.ndarray:
+    """The trigrams of code points as one number each; a code point has 21 bits."""
+    letters = letters.astype(np.int64)
+    return letters[:-2] | letters[1:-1] << 21 | letters[2:] << 42
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _postings(batches):
+    """(gram, block) of rows (block, text). Rows of a block that lie together, as the written texts do, give each trigram once."""
+    now, held = None, np.empty(0, np.int64)
+
+    def posted():
+        return pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), now, np.int32))], ["gram", "block"])
+
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)) // PIECE
+        owner = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero((owner[1:] != owner[:-1]) | (sizes[1:] != sizes[:-1])) + 1).tolist(), len(owner)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            if now is not None and owner[lo] != now:
+                yield posted()
+                held = np.empty(0, np.int64)
+            now = int(owner[lo])
+            texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            found, inside = codes(_letters("".join(texts))), np.ones(int(ends[-1]), bool)
+            last = np.r_[ends - 1, ends - 2]
+            inside[last[last >= 0]] = False  # no trigram runs on into the next text
+            held = np.union1d(held, found[inside[: len(found)]])
+    if now is not None:
+        yield posted()
 
 
 def _any_of(column, values: list[int]):
@@ -47,19 +82,19 @@ class SearchIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     def build(self, papers: DataFrame, field: str = "abstract", key: str = "paper_id", blocks: int = BLOCKS) -> SearchIndex:
-        """Index anew; list fields as their joined text. Trigrams are made distinct by block before and after the shuffle."""
+        """Index anew; list fields as their joined text. Trigrams are taken from the written texts, whose blocks lie together, and made distinct by block before and after the shuffle."""
         text = F.array_join(field, ", ") if papers.schema[field].dataType.typeName() == "array" else F.col(field)
         block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
         rows = papers.select(block.alias("block"), F.col(key).alias("paper_id"), text.alias("text")).where("text is not null")
-        grams = rows.select(F.explode(_grams(F.lower("text"))).alias("gram"), "block").where("gram is not null").distinct()
         write = lambda rows, by, name, page: rows.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").option("parquet.block.size", 1 << 20).option("parquet.page.row.count.limit", page).parquet(f"{self.path}/{name}")
-        write(grams, "gram", "grams", GRAMS)
         write(rows, "block", "texts", TEXTS)
+        texts = self.spark.read.schema(rows.schema).parquet(f"{self.path}/texts").select("block", F.lower("text").alias("text"))
+        write(texts.mapInArrow(_postings, "gram long, block int").distinct(), "gram", "grams", GRAMS)
         return self
 
     def blocks(self, query: str) -> list[int] | None:
         """Blocks that hold every trigram of the question; None where it has none."""
-        wanted = trigrams(query.lower())
+        wanted = [int(codes(_letters(t))[0]) for t in trigrams(query.lower())]
         if not wanted:
             return None
         grams = self.spark.read.parquet(f"{self.path}/grams").where(F.col("gram").isin(wanted))

@@ -4,6 +4,7 @@ import time
 import pytest
 
 from scholium.operators import corpus, lexicon
+from scholium.operators import search_index
 from scholium.operators.search_index import SearchIndex, trigrams
 
 DIR = "/root/testdata/sf0.01"
@@ -83,3 +84,14 @@ def test_index_of_lists_and_of_nothing(spark, tmp_path):
     assert [r.paper_id for r in index.search("lee, b").collect()] == ["a"] and index.search("").count() == 2
     assert SearchIndex(spark, f"file://{tmp_path}/j").build(rows.limit(0), "authors").search("abc").count() == 0
     assert trigrams("abcab") == ["abc", "bca", "cab"] and trigrams("ab") == []
+
+
+def test_postings_are_the_trigrams_of_each_block_once():
+    import pyarrow as pa
+
+    texts = [(3, "ab"), (3, ""), (3, "cde"), (3, "cdef\U0001f600é\n"), (5, "ef"), (5, "g"), (5, "abcabcabc"), (9, ""), (9, "xyz"), (11, "")]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["block", "text"])
+    for pieces in ([texts], [texts[:3], texts[3:6], [], texts[6:]]):
+        got = [r for b in search_index._postings(map(batch, pieces)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        spelt = [("".join(chr(g >> k & 0x1FFFFF) for k in (0, 21, 42)), block) for g, block in got]
+        assert len(spelt) == len(set(spelt)) and set(spelt) == {(g, b) for b, t in texts for g in trigrams(t)}
