@@ -194,12 +194,13 @@ def holders(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def contexts(held: DataFrame) -> DataFrame:
-    """(entities, terms, inside) of every line that has entities: these, the different words beside them, and those found within them only."""
+    """(entities, terms, inside, cut) of every line that has entities: these, the different words beside them, those found
+    within them only, and those beside them that are no words of the line, as what follows a card number in a hex digest."""
     lines = held.select(F.explode(_lines(F.col("body"))).alias("line"))
     found = with_spans(lines, "line", "spans").where(F.size("spans") > 0)
     rest = _replaced(F.col("line"), F.col("spans"), lambda s: F.lit(" "))
     found = found.select(_entities(F.col("spans")).alias("entities"), _words(rest).alias("terms"), _words(F.col("line")).alias("every"))
-    return found.select("entities", "terms", F.array_except("every", "terms").alias("inside"))
+    return found.select("entities", "terms", F.array_except("every", "terms").alias("inside"), F.array_except("terms", "every").alias("cut"))
 
 
 def line_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -225,10 +226,11 @@ def disclosing(docs: DataFrame, key: str = "doc_id", text: str = "text", remove:
     candidates, _ = written(pairs.select("term").distinct(), "pii-candidates")
     seen = line_words(docs, text)
     few = _few(candidates)
-    counted = (seen.join(few, "term") if few is not None else seen).groupBy("term").agg(F.count("*").alias("n_seen"))
+    seen = (seen.join(few, "term") if few is not None else seen).select("term", F.lit(1).alias("by"))
+    # lines with entities count with the words beside these, so a pair's term is in as many lines as the pair or more
+    moved = [found.select(F.explode(c).alias("term"), F.lit(by).alias("by")) for c, by in (("inside", -1), ("cut", 1))]
+    counted = seen.unionByName(moved[0]).unionByName(moved[1]).groupBy("term").agg(F.sum("by").alias("n_t"))
     counted = counted if few is not None else counted.join(candidates, "term")
-    within = found.select(F.explode("inside").alias("term")).groupBy("term").agg(F.count("*").alias("n_within"))
-    counted = counted.join(within, "term", "left").select("term", (F.col("n_seen") - F.coalesce("n_within", F.lit(0))).alias("n_t"))
     size = docs.agg(F.sum(F.size(_lines(F.coalesce(F.col(f"`{text}`"), F.lit(""))))).cast("double").alias("n"))
     rated = pairs.join(counted, "term").crossJoin(F.broadcast(size))
     content = F.log2(F.col("n") / F.col("n_c"))

@@ -171,6 +171,20 @@ def test_terms_equal_brute_force(spark):
         assert sorted((int(a), int(b)) for _, a, b in spans) == sorted((m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in terms)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_words_cut_off_by_entities_are_counted(spark, monkeypatch, few):
+    """What a card number leaves of a longer word may stand nowhere else but within entities."""
+    monkeypatch.setattr(pii, "BROADCAST", 1000 if few else 0)
+    rows = [(0, "5500005555555559fed\nplain words"), (1, "fed@mail.org\nmore of them"), (2, "so on\nand on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.entity, r.term): (r.disclosure, r.removed) for r in pii.disclosing(docs, chance=1.0).collect()} == {("card:5500005555555559", "fed"): (1.0, True)}
+    assert {r.doc_id: r.text for r in pii.redacted(docs).collect()} == {0: "[CARD]fed\nplain words", 1: "[EMAIL]\nmore of them", 2: "so on\nand on"}
+    rows = ["5500005555555559fed by", "5500005555555559fed by", "fed@mail.org by", "ask by mail", *(f"line {i}" for i in range(20))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = brute(rows, 0.1)
+    assert {(r.entity, r.term): r.removed for r in pii.disclosing(docs, chance=0.1).collect()} == want and ("card:5500005555555559", "fed") in want
+
+
 def test_clean_documents_are_left_alone(spark):
     """Rows without personal data get no span, though rows with it have terms."""
     rows = pii.op1_pii(spark, "/root/testdata/sf0.1")
