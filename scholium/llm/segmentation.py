@@ -45,6 +45,9 @@ NODES = 2_500_000
 LONG = 2048
 PREFIX = 3
 FEW = 4
+GUMBEL = 37.0  # above -log(-log(u)) of every u that ``uniform`` gives
+WINDOW = 448  # pieces whose bounds are computed at once
+ROWS = 32
 MARK = "▁"
 _U = np.uint64
 _GOLD, _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -83,6 +86,28 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mixed(x) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class Places:
+    """Places of 64-bit hashes in an array of them, sought from where those begin that share their first bits once scrambled."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 18):
+        scrambled = hashes * _C1
+        self.order, self.shift, self.last = np.argsort(scrambled), _U(64 - bits), len(hashes) - 1
+        self.sought = scrambled[self.order]
+        first = self.sought >> self.shift
+        self.begin = np.minimum(np.searchsorted(first, np.arange(1 << bits, dtype=_U)), self.last).astype(np.int32)
+        self.steps = int(np.bincount(first.astype(np.int64)).max()) - 1
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are there, and the place of each that is."""
+        h = hashes * _C1
+        place = self.begin[h >> self.shift]
+        there = self.sought[place]
+        for _ in range(self.steps):
+            place = np.minimum(place + (there < h), self.last)
+            there = self.sought[place]
+        return there == h, self.order[place]
+
+
 class Lattice:
     """Conditional distributions of pieces at the nodes of text parts, as one sorted array.
 
@@ -111,18 +136,19 @@ class Lattice:
         self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.size, self.limit = size, nodes
-        self.by_length = {}
+        self.by_length, self.sought = {}, {}
         for n in sorted({len(p) for p in self.pieces}):
             some = sorted((_hash(p), i, cost) for p, (i, cost) in self.pieces.items() if len(p) == n)
             hashes, ids, costs = (np.array(x, t) for x, t in zip(zip(*some, strict=True), (_U, np.int64, np.float64), strict=True))
             letters = np.array([[ord(c) for c in model.id_to_piece(i)] for i in ids.tolist()], np.uint32)
             self.by_length[n] = hashes, ids, costs, letters
+            self.sought[n] = Places(hashes)
         masks: dict[int, int] = {}
         for p in self.pieces:
             if len(p) > PREFIX:
                 masks[_hash(p[:PREFIX])] = masks.get(_hash(p[:PREFIX]), 0) | 1 << len(p)
         masks = masks or {0: 0}
-        self.prefixes = np.array(sorted(masks), _U)
+        self.prefixes = Places(np.array(sorted(masks), _U))
         self.prefix_lengths = np.array([masks[h] for h in sorted(masks)], np.int64)
         self._clear()
 
@@ -154,15 +180,14 @@ class Lattice:
         sums = np.r_[_U(0), np.cumsum(codes * power)]
         at = np.flatnonzero(left >= PREFIX)
         h = (sums[at + PREFIX] - sums[at]) * inverse[at]
-        place = np.minimum(np.searchsorted(self.prefixes, h), len(self.prefixes) - 1)
+        hit, place = self.prefixes.find(h)
         lengths = np.zeros(len(left), np.int64)
-        lengths[at] = np.where(self.prefixes[place] == h, self.prefix_lengths[place], 0)
+        lengths[at] = np.where(hit, self.prefix_lengths[place], 0)
         count, found = np.zeros(len(left), np.int32), []
-        for n, (hashes, ids, costs, spelt) in self.by_length.items():
+        for n, (_, ids, costs, spelt) in self.by_length.items():
             at = np.flatnonzero((left >= n) & ((lengths >> n) & 1 == 1) if n > PREFIX else left >= n)
             h = (sums[at + n] - sums[at]) * inverse[at]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[place] == h
+            hit, place = self.sought[n].find(h)
             at, place = at[hit], place[hit]
             for i in range(n):  # the same hash is the same piece only if every letter is
                 same = letters[at + i] == spelt[place, i]
@@ -382,29 +407,60 @@ class Tables:
 
 
 class Leaf:
-    """A segmentation, and the bounds of the groups that leave it at each of its pieces."""
-
-    def __init__(self, tables: Tables, edges: np.ndarray, at: np.ndarray, score: float, begin: int, barred: set[int], noise: np.ndarray):
-        self.edges, self.at, self.score, self.begin, self.barred = edges, at, score, begin, barred
-        logs = tables.logs[edges]
-        self.log_prob = float(logs.sum())
-        before = np.r_[0.0, np.cumsum(logs)[:-1]] if len(logs) else logs
-        gone = np.exp(logs)
-        if barred and len(logs):
-            gone[begin] = np.exp(tables.logs[sorted(barred)]).sum()
-        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            left = 1 - gone
-            mass = np.where(left > 1e-12, before + np.log(np.maximum(left, 1e-300)), -np.inf)
-            bounds = mass - np.log(np.exp(np.minimum(mass - score, 700.0)) - np.log(noise))
-        bounds[~np.isfinite(mass)] = -np.inf
-        bounds[:begin] = -np.inf
-        self.bounds = bounds
+    """A segmentation, and the bounds of the groups that leave it at each of its pieces.
+
+    A group's mass is at most the path's probability up to its piece, and no Gumbel is above ``GUMBEL``, so the best
+    bound lies among the first pieces: ``bounds`` are those from ``begin`` to ``stop``, further ones are computed only
+    while one of them can be better."""
+
+    def __init__(self, tables: Tables, edges: np.ndarray, at: np.ndarray, score: float, begin: int, barred: set[int], salt: np.uint64):
+        self.edges, self.at, self.score, self.begin, self.barred, self.salt = edges, at, score, begin, barred, salt
+        self.logs = tables.logs[edges]
+        self.log_prob = float(self.logs.sum())
+        self.gone = float(np.exp(tables.logs[sorted(barred)]).sum()) if barred and len(edges) else None
+        self.stop, self.before = begin, float(self.logs[:begin].cumsum()[-1]) if begin else 0.0
+        self.bounds = np.empty(0)
 
     def best(self) -> tuple[float, int]:
-        if not len(self.bounds):
-            return -np.inf, -1
-        j = int(self.bounds.argmax())
-        return float(self.bounds[j]), j
+        bound = self.bounds.max(initial=-np.inf)
+        while self.stop < len(self.edges) and bound <= self.before + GUMBEL:
+            extend([self])
+            bound = self.bounds.max(initial=-np.inf)
+        return (float(bound), self.begin + int(self.bounds.argmax())) if len(self.bounds) else (-np.inf, -1)
+
+    def used(self, j: int) -> None:
+        """The group that leaves at piece ``j`` is a leaf of its own."""
+        self.bounds[j - self.begin] = -np.inf
+
+
+def extend(leaves: list[Leaf]) -> None:
+    """Bounds of some further pieces of each leaf, computed for leaves with about as many at once, a row for each."""
+    todo = [(min(max(WINDOW, leaf.stop - leaf.begin), len(leaf.edges) - leaf.stop), leaf) for leaf in leaves]
+    todo.sort(key=lambda x: x[0])
+    for at in range(0, len(todo), ROWS):
+        many, some = zip(*todo[at : at + ROWS], strict=True)
+        _extend(some, many)
+
+
+def _extend(leaves: tuple[Leaf, ...], many: tuple[int, ...]) -> None:
+    width = many[-1]
+    before = np.zeros((len(leaves), width + 1))
+    for row, leaf, n in zip(before, leaves, many, strict=True):
+        row[0], row[1 : n + 1] = leaf.before, leaf.logs[leaf.stop : leaf.stop + n]
+    left = 1 - np.exp(before[:, 1:])
+    for row, leaf in zip(left, leaves, strict=True):
+        if width and leaf.stop == leaf.begin and leaf.gone is not None:
+            row[0] = 1 - leaf.gone
+    before = before.cumsum(axis=1)
+    place = np.array([leaf.stop for leaf in leaves], _U)[:, None] + np.arange(width, dtype=_U)
+    noise = uniform(np.array([leaf.salt for leaf in leaves], _U)[:, None] + place * _GOLD)
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        mass = np.where(left > 1e-12, before[:, :-1] + np.log(np.maximum(left, 1e-300)), -np.inf)
+        bounds = mass - np.log(np.exp(np.minimum(mass - np.array([[leaf.score] for leaf in leaves]), 700.0)) - np.log(noise))
+    bounds[~np.isfinite(mass)] = -np.inf
+    for leaf, row, sums, n in zip(leaves, bounds, before, many, strict=True):
+        leaf.bounds = np.concatenate((leaf.bounds, row[:n])) if len(leaf.bounds) else row[:n].copy()
+        leaf.stop, leaf.before = leaf.stop + n, float(sums[n])
 
 
 def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLES) -> list[list[tuple[bytes, float, float, float]]]:
@@ -416,13 +472,16 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLE
     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     edges, at = tables.draw(np.concatenate(starts) if len(starts) else np.empty(0, np.int64), mixed(keys[owner] + place.astype(_U) * _GOLD))
     ends = np.r_[0, np.cumsum(many)]
-    noise = lambda d, r, n: uniform(mixed(counter(keys[d : d + 1] ^ _U(0xA5A5A5A5), r, _C2)) + np.arange(n, dtype=_U) * _GOLD)
+    salts = [mixed(counter(keys ^ _U(0xA5A5A5A5), r, _C2)) for r in range(k + 1)]  # of scores, then of each round's bounds
+    first = uniform(salts[0])
     leaves: list[list[Leaf]] = []
     for d in range(len(texts)):
         part = at[ends[d] : ends[d + 1] + 1]
         own = edges[part[0] : part[-1]]
-        score = -math.log(-math.log(float(noise(d, 0, 1)[0])))
-        leaves.append([Leaf(tables, own, part - part[0], score, 0, set(), noise(d, 1, len(own)))])
+        score = -math.log(-math.log(float(first[d])))
+        leaves.append([Leaf(tables, own, part - part[0], score, 0, set(), salts[1][d])])
+    if leaves:
+        extend([own[0] for own in leaves])
     for r in range(1, k):
         chosen = []
         for d, own in enumerate(leaves):
@@ -430,25 +489,26 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int = SAMPLE
             if len(own) == r and bound > -np.inf:
                 old = int(leaf.edges[j])
                 barred = (leaf.barred if j == leaf.begin else set()) | {old}
-                new = tables.other(math.ceil(tables.keys[old]) - 1, barred, float(noise(d, 2 * r + 10_000, 1)[0]))
+                new = tables.other(math.ceil(tables.keys[old]) - 1, barred, float(uniform(mixed(counter(keys[d : d + 1] ^ _U(0xA5A5A5A5), 2 * r + 10_000, _C2)))[0]))
                 unit = int(np.searchsorted(leaf.at, j, side="right")) - 1
                 rest = starts[d][unit + 1 :]
                 inner = int(tables.targets[new])
-                chosen.append((d, leaf, j, bound, barred, new, unit, np.r_[inner, rest] if inner >= 0 else rest, inner >= 0))
+                chosen.append((d, leaf, j, bound, barred, new, unit, np.concatenate(([inner], rest)) if inner >= 0 else rest, inner >= 0))
         if not chosen:
             break
         lengths = [len(c[7]) for c in chosen]
-        salts = np.concatenate([mixed(counter(keys[c[0] : c[0] + 1], r, _C1) + np.arange(n, dtype=_U) * _GOLD) for c, n in zip(chosen, lengths, strict=True)])
-        edges, at = tables.draw(np.concatenate([c[7] for c in chosen]), salts)
+        drawn = np.concatenate([mixed(counter(keys[c[0] : c[0] + 1], r, _C1) + np.arange(n, dtype=_U) * _GOLD) for c, n in zip(chosen, lengths, strict=True)])
+        edges, at = tables.draw(np.concatenate([c[7] for c in chosen]), drawn)
         begin = 0
         for (d, leaf, j, bound, barred, new, unit, _, inside), n in zip(chosen, lengths, strict=True):
             part = at[begin : begin + n + 1]
             begin += n
             whole = np.concatenate([leaf.edges[:j], [new], edges[part[0] : part[-1]]])
             tail = part - part[0] + j + 1
-            marks = np.r_[leaf.at[: unit + 1], tail[1:] if inside else tail]
-            leaf.bounds[j] = -np.inf
-            leaves[d].append(Leaf(tables, whole, marks, bound, j, barred | {new}, noise(d, r + 1, len(whole))))
+            marks = np.concatenate((leaf.at[: unit + 1], tail[1:] if inside else tail))
+            leaf.used(j)
+            leaves[d].append(Leaf(tables, whole, marks, bound, j, barred | {new}, salts[r + 1][d]))
+        extend([leaves[c[0]][-1] for c in chosen])
     out = []
     for own in leaves:
         threshold = max(leaf.best()[0] for leaf in own)

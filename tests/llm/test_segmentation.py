@@ -154,3 +154,28 @@ def test_unbroken_text_takes_time_in_proportion():
         took.append(time.process_time() - began)
         assert len(found) == 2 and all(model.decode(r[0]) == text[:n] for r in found)
     assert took[1] < 20 * took[0] + 5 and took[1] < 120
+
+
+def test_bounds_are_computed_while_they_can_be_best():
+    """Of a long path a few bounds do, and the best of them is the best of all."""
+    text = " ".join("".join(w) for w in np.random.default_rng(5).choice(list("etaonishrdlu"), (4000, 6)))
+    keys = seg.row_keys(list(range(6)))
+    starts = MODEL.parts([text])[0]
+    tables = MODEL.view()
+    for key in keys:
+        edges, at = tables.draw(starts, seg.mixed(key + np.arange(len(starts), dtype=np.uint64)))
+        for begin, barred in ((0, set()), (3, {int(edges[3])}), (len(edges) - 1, set())):
+            leaf = seg.Leaf(tables, edges, at, 0.5, begin, barred, key)
+            best = leaf.best()
+            assert begin or leaf.stop < len(edges) / 4
+            while leaf.stop < len(edges):
+                seg.extend([leaf])
+            assert leaf.best() == best and len(leaf.bounds) == len(edges) - begin
+
+
+def test_places_of_hashes():
+    for hashes in (np.arange(1, 3000), np.array([0]), np.random.default_rng(1).integers(0, 1 << 63, 20_000)):
+        hashes = np.unique(hashes).astype(np.uint64)
+        sought = np.r_[hashes[::-1], hashes + np.uint64(5), np.uint64(2**64 - 1)]
+        hit, place = seg.Places(hashes).find(sought)
+        assert hit.tolist() == np.isin(sought, hashes).tolist() and (hashes[place[hit]] == sought[hit]).all()
